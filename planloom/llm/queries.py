@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bitpack, langid, linededup, pieces, simhash, toxicity
+from planloom.llm import annforest, bitpack, decontaminate, langid, linededup, pieces, simhash, toxicity
 from planloom.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -49,6 +49,12 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY rid, doc_id
 """
 
 
+@query
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return annforest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -65,3 +71,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = toxicity.toxicity_scores(docs, machine)
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "items", "least_edits")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import annforest, bitpack, decontaminate, langid, linededup, pieces, simhash, toxicity
+from planloom.llm import annforest, bitpack, decontaminate, langid, linededup, pieces, ppm, simhash, toxicity
 from planloom.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -55,6 +55,11 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)

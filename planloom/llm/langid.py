@@ -113,7 +113,7 @@ def train(docs: DataFrame, most_rows: int = 4000, per_language: int = 400, id_co
             yield pa.RecordBatch.from_arrays([b.column(id_col), b.column(lang_col), pa.array([np.minimum(r, 65535).astype("<u2").tobytes() for r in rows], pa.binary())], [id_col, "lang", "x"])
 
     found = docs.where(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col).join(F.broadcast(picked), id_col)  # at most most_rows ids
-    got = arrow_map(found, run, f"{id_col} long, lang string, x binary").toPandas().sort_values([id_col, "lang", "x"], kind="stable")
+    got = arrow_map(found, run, f"{id_col} long, lang string, x binary").toArrow().to_pandas().sort_values([id_col, "lang", "x"], kind="stable")
     return fit(np.array([np.frombuffer(x, "<u2") for x in got["x"]]), got["lang"].tolist())
 
 

@@ -132,8 +132,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fan: int
         return pa.RecordBatch.from_arrays([*cols, pa.array([r[1] for r in results], pa.int64()), pa.array([r[2] for r in results], pa.int64())], [*names, "n_lines", "n_dropped"])
 
     if few:
-        found = keys.toPandas()
-        sent = docs.sparkSession.sparkContext.broadcast(found[KEY].to_numpy(np.int64).astype(">i8").tobytes())
+        found = keys.toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(np.stack([found[k].to_numpy() for k in KEY], 1).astype(">i8").tobytes())
 
         def run(batches):
             raw = sent.value

@@ -8,7 +8,7 @@ context are also symbols of its suffix, so what is excluded depends on the last
 node keeps its excluded totals ready. The result for a symbol depends on its last `order` bytes and itself only; it is
 computed once for every stored string and looked up per position.
 
-Strings seen in less than 2^-22 of all positions are left out of the trie, which bounds it whatever the corpus.
+Strings seen in less than 2^-24 of all positions are left out of the trie, which bounds it whatever the corpus.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def pieces_of(rows: list[bytes], most: int):
         yield a, len(rows)
 
 
-def train(docs: DataFrame, order: int = 4, depth: int = 22, id_col: str = "doc_id", text_col: str = "text") -> Trie:
+def train(docs: DataFrame, order: int = 5, depth: int = 24, id_col: str = "doc_id", text_col: str = "text") -> Trie:
     """Count the strings of all training documents (crc32(id) mod 10 not 0) and build the trie on the driver."""
 
     def run(batches):
@@ -208,12 +208,12 @@ def train(docs: DataFrame, order: int = 4, depth: int = 22, id_col: str = "doc_i
     for size in range(1, order + 2):
         mask = F.lit((1 << (8 * size)) - 1)
         level = counts.select(F.col("code").bitwiseAND(mask).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        got = level.toPandas()  # at most 2^depth rows
-        levels.append((got["code"].to_numpy(np.int64).astype(np.uint64), got["n"].to_numpy(float)))
+        got = level.toArrow()  # at most 2^depth rows
+        levels.append((got["code"].to_numpy().astype(np.int64).astype(np.uint64), got["n"].to_numpy().astype(float)))
     return Trie.of(levels)
 
 
-def score_documents(docs: DataFrame, order: int = 4, block_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 5, block_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Documents pass in blocks of about block_chars; a block sends its distinct tokens to be counted and gets their
@@ -221,7 +221,7 @@ def score_documents(docs: DataFrame, order: int = 4, block_chars: int = 8_000_00
     token); a null id counts as the empty text in the split; repeated rows stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(train(docs, order, id_col=id_col, text_col=text_col))  # at most 2^22 strings a level
+    sent = spark.sparkContext.broadcast(train(docs, order, id_col=id_col, text_col=text_col))  # at most 2^24 strings a level
 
     def block(name, ids, rows):
         trie, place, idx, n, ptr, words, scores = sent.value, {}, [], [], [0], [], []

@@ -119,7 +119,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([terms(x, bits) for x in bodies(b, text_col)], pa.list_(pa.int64())), b.column(id_col)], ["toxic", "x", id_col])
 
     found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # at most two times per_class rows
-    got = arrow_map(found, run, f"toxic int, x array<long>, {id_col} long").toPandas()
+    got = arrow_map(found, run, f"toxic int, x array<long>, {id_col} long").toArrow().to_pandas()
     got = got.assign(n=got["x"].map(len), h=got["x"].map(lambda x: hash(tuple(x)))).sort_values([id_col, "n", "h"], kind="stable")
     return [np.asarray(x, np.int64) for x in got["x"]], got["toxic"].to_numpy(float)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import annforest, bitpack, decontaminate, langid, linededup, pieces, ppm, simhash, toxicity
+from planloom.llm import annforest, bitpack, decontaminate, langid, linededup, pieces, pii, ppm, simhash, toxicity
 from planloom.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -65,6 +65,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, tau=2)

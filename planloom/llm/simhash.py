@@ -69,20 +69,20 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
     return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, fp long")
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
+def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
     """Number of fingerprints and the 64 x 64 counts of bits set together, over all rows."""
 
     def run(batches):
         total, n = np.zeros((BITS, BITS)), 0
         for b in batches:
-            v = b.column("fp").to_numpy(zero_copy_only=False).astype(">i8")
+            v = b.column(column).to_numpy(zero_copy_only=False).astype(">i8")
             bits = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
             total += bits.T @ bits
             n += len(v)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.ravel().astype(np.int64)])], ["n", "counts"])
 
-    parts = arrow_map(fps.select("fp"), run, "n long, counts array<long>")
+    parts = arrow_map(fps.select(column), run, "n long, counts array<long>")
     rows = parts.select("n", F.posexplode("counts")).groupBy("pos").agg(F.sum("col").alias("c"), F.sum("n").alias("n")).collect()
     counts = np.zeros(BITS * BITS)
     for r in rows:
@@ -199,3 +199,103 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, tau: int = 2, bu
     lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     members = classes.join(lowest, "root").select("fp", "component_id")
     return fps.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+SKETCHES = 6
+
+
+def sketch(body: bytes) -> tuple[int, list[int]]:
+    """(hash of the word sequence, SKETCHES fingerprints over the distinct words of four bytes or more).
+
+    Texts with fewer than eight such words use all their words. Single words differ far less between near copies
+    than word shingles do, so equal partitions are likely; the shingles decide in the verification.
+    """
+    words = words_of(body)
+    node = signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+    long = {w for w in words if len(w) >= 4}
+    chosen = long if len(long) >= 8 else set(words)
+    if not chosen:
+        return node, [0] * SKETCHES
+    out = []
+    for seed in range(SKETCHES // 2):
+        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in chosen]), np.uint8).reshape(-1, 16)
+        ones = np.zeros(128, np.int64)
+        for at in range(0, len(raw), 4096):
+            ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(0, dtype=np.uint16)
+        out += np.packbits(ones * 2 > len(raw)).view(">i8").tolist()
+    return node, out
+
+
+def _sketched(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, node, fps array, shingles array of distinct 32-bit hashes)."""
+
+    def run(batches):
+        for b in batches:
+            rows = bodies(b, text_col)
+            made = [sketch(x) for x in rows]
+            sets = [np.unique(np.array(shingle_hashes(x, shingle_words), np.uint64).astype(np.uint32).view(np.int32)) for x in rows]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], [id_col, "node", "fps", "shingles"])
+
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, fps array<long>, shingles array<int>")
+
+
+def near_copy_links(nodes: DataFrame, similarity: float, tau: int = 2, bucket_limit: int = 8, far: float = 0.15) -> DataFrame:
+    """(u, v): pairs of `nodes` (node, n, fps, shingles) whose shingle sets have at least the given Jaccard similarity.
+
+    Candidates share a probed key in any fingerprint. A bucket above bucket_limit is joined in a star to its
+    most frequent fingerprint's text, which stands at the middle of a group of copies; other buckets give
+    all pairs. Candidates that differ in over `far` of all fingerprint bits are dropped before the sets are compared.
+    """
+    rows = None
+    small = nodes.select("node", "n", *[F.col("fps")[r].alias(f"fp{r}") for r in range(SKETCHES)])
+    for r in range(SKETCHES):
+        masks = plan(*bit_statistics(small, f"fp{r}"), tau)
+        probes = _keyed(small.select("node", "n", F.col(f"fp{r}").alias("fp")), masks).withColumn("f", F.col("f") + r * 1000)
+        rows = probes if rows is None else rows.unionByName(probes)
+    sizes = rows.groupBy("f", "key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = cut(rows.join(sizes, ["f", "key"]))
+    lists = rows.where(F.col("size") <= bucket_limit).groupBy("f", "key").agg(F.collect_list("node").alias("in"))
+    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b < a), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    low = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
+    hot = rows.where(F.col("size") > bucket_limit)
+    modes = hot.groupBy("f", "key", "fp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "node")).alias("top")).groupBy("f", "key").agg(F.max(F.struct("n", F.col("top.n").alias("t"), F.col("top.node").alias("node"))).alias("mode"))
+    high = hot.join(modes.select("f", "key", F.col("mode.node").alias("centre")), ["f", "key"]).where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
+    candidates = low.unionByName(high).distinct()
+    a, b = (small.select(F.col("node").alias(c), *[F.col(f"fp{r}").alias(f"{c}{r}") for r in range(SKETCHES)]) for c in "uv")
+    apart = sum((F.bit_count(F.col(f"u{r}").bitwiseXOR(F.col(f"v{r}"))) for r in range(SKETCHES)), F.lit(0))
+    close = cut(candidates.join(a, "u").join(b, "v").where(apart <= int(far * BITS * SKETCHES)).select("u", "v"))
+    sets = nodes.select("node", "shingles")
+    both = close.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"):
+    """(groups, rows): groups has (id_col, node, root), one row per document; equal roots are near-duplicate groups.
+
+    Copies that agree in all words (A-Z lower-cased) are one node; texts without words are one node too.
+    """
+    rows = written(_sketched(docs, shingle_words, id_col, text_col), "sketches")
+    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("shingles").alias("shingles")), "nodes")
+    roots = connected_components(near_copy_links(nodes, similarity))
+    ids = rows.select(id_col, "node")
+    return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group, the one with the smallest id, with all columns of `docs`.
+
+    A null id counts as larger than any other. Of rows alike in id and words one stays. An empty table gives an empty result.
+    """
+    groups = near_duplicates(docs, shingle_words, similarity, id_col, text_col)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), "node")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.node").alias("_kept"))
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _node long"
+
+    def run(batches):
+        for b in batches:
+            node = [signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(x)))) for x in bodies(b, text_col)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], [*names, "_node"])
+
+    marked = arrow_map(docs, run, schema)
+    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept"))).dropDuplicates([id_col, "_node"]).select(*names)

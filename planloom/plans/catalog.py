@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from planloom.plans import cloud_queries  # noqa: F401
+from planloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

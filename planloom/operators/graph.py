@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = cut(_small_star(_large_star(now).distinct()).distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen or not sign[0]:
-            return now.select("u", F.col("v").alias("root"))
+            roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
+            return now.select("u", F.col("v").alias("root")).unionByName(roots)
         seen = sign
     raise RuntimeError("connected_components did not settle")

@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, ragged
 
@@ -160,40 +159,45 @@ class Patterns:
         return [(item, c, a) for item, (c, a) in sorted(found.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_items, items array, least_edits, *keep) of each document: the benchmark items of which it holds a pattern.
-
-    Items are benchmark rows (item_id, text). An item whose normal text is shorter than `least` bytes, null or
-    empty takes no part. Null and empty documents hold no item (n_items 0, least_edits null). Items are sent to
-    the workers in chunks of about chunk_bytes, as many as the benchmark needs; a document's finds in all chunks are
-    put together. Repeated rows are treated alike; empty tables give empty results.
-    """
-    spark = docs.sparkSession
+def _sent(docs: DataFrame, benchmark: DataFrame, q: int, rate: float, span: int, least: int, chunk_bytes: int) -> list:
+    """The benchmark's patterns as broadcasts of about chunk_bytes of text each, as many as it needs."""
     chunks, now, size = [], [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
         body = (r["text"] or "").encode()
         now.append((r["item_id"], body))
         size += len(body)
         if size >= chunk_bytes:
             chunks.append(now)
             now, size = [], 0
-    sent = [spark.sparkContext.broadcast(Patterns.of([x for x in c if x[0] is not None], q, rate, span, least)) for c in [*chunks, now]]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] if keep else []
+    return [docs.sparkSession.sparkContext.broadcast(Patterns.of(c, q, rate, span, least)) for c in [*chunks, now]]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_items, items array, least_edits) of each document: the benchmark items of which it holds a pattern.
+
+    Items are benchmark rows (item_id, text). An item whose normal text is shorter than `least` bytes, null or
+    empty takes no part, nor does one without id. Null and empty documents hold no item (n_items 0, least_edits null).
+    Items are sent to the workers in chunks; a document's finds in all chunks are put together. Repeated rows are
+    treated alike; other columns are not read; empty tables give empty results.
+    """
+    sent = _sent(docs, benchmark, q, rate, span, least, chunk_bytes)
 
     def run(batches):
         for b in batches:
-            out = []
-            for body in bodies(b, text_col):
-                text = normal(body)
-                found = [x for s in sent for x in s.value.find(text)]
-                out.append((len({x[0] for x in found}), sorted({x[0] for x in found}), min((x[1] for x in found), default=None)))
-            cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *cols, *[b.column(c) for c in keep]], [id_col, "n_items", "items", "least_edits", *keep])
+            found = [[x for s in sent for x in s.value.find(t)] for t in map(normal, bodies(b, text_col))]
+            items = [sorted({x[0] for x in f}) for f in found]
+            cols = [pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([min((x[1] for x in f), default=None) for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), *cols], [id_col, "n_items", "items", "least_edits"])
 
-    return arrow_map(docs.select(*dict.fromkeys([id_col, text_col, *keep])), run, ", ".join([f"{id_col} long, n_items long, items array<long>, least_edits long", *fields]))
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, n_items long, items array<long>, least_edits long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that hold no benchmark passage, all columns as they are."""
-    cols = docs.columns
-    return leaks(docs, benchmark, keep=tuple(c for c in cols if c != "doc_id"), **how).where(F.col("n_items") == 0).select(*cols)
+    sent = _sent(docs, benchmark, q, rate, span, least, chunk_bytes)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([not any(s.value.find(t) for s in sent) for t in map(normal, bodies(b, text_col))], pa.bool_()))
+
+    return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

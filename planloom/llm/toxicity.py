@@ -129,7 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **how) -> M
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, *keep): null and empty texts get the machine's bias as logit; each row is scored by itself."""
+    """(id, score, *keep): null and empty texts get the machine's bias as logit; each row is scored by itself.
+
+    A kept column named score gives way to the score. An empty table gives an empty result.
+    """
+    keep = tuple(k for k in keep if k not in (id_col, "score"))
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # 2^bits rows of weights, whatever the corpus
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] if keep else []
 

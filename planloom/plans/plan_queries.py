@@ -257,3 +257,32 @@ def door_connections(spark, sf_dir):
 @query(DOORS + " SELECT DISTINCT cap, least(room, connects_to) AS room_a, greatest(room, connects_to) AS room_b FROM con")
 def room_adjacency(spark, sf_dir):
     return P.adjacency(_connected(spark, sf_dir))
+
+
+def _documents(spark, sf_dir):
+    from planloom.sources import sinks
+
+    rg, walls, totals, openings = plan_tables(spark, sf_dir)
+    return sinks.plan_documents(rg, walls, totals, openings, P.footprint(totals))
+
+
+@query(PLAN + " SELECT foot.cap, (SELECT count(*)::INTEGER FROM rooms r WHERE r.cap = foot.cap) AS rooms, (SELECT count(*)::INTEGER FROM opens o WHERE o.cap = foot.cap) AS openings, round(value, 4) AS area FROM foot")
+def plan_roll_up(spark, sf_dir):
+    from planloom.sources import sinks
+
+    return sinks.roll_up(_documents(spark, sf_dir))
+
+
+@query()
+def plan_pages(spark, sf_dir):
+    from planloom.sources import sinks
+
+    return sinks.page(_documents(spark, sf_dir))
+
+
+@query(f"""WITH {ROOMS}, {RING}, s AS (SELECT cap, room, string_agg(printf('%.1f,%.1f', u * 40, v * 40), ' ' ORDER BY i) AS points FROM ring GROUP BY ALL)
+SELECT cap, '<svg xmlns="http://www.w3.org/2000/svg">' || string_agg('<polygon id="room-' || room || '" points="' || points || '" fill="none" stroke="black"/>', '' ORDER BY room) || '</svg>' AS svg FROM s GROUP BY cap""")
+def plan_drawing(spark, sf_dir):
+    from planloom.sources import sinks
+
+    return sinks.svg(ring(rooms(spark, sf_dir)))

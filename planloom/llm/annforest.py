@@ -79,26 +79,27 @@ def _clean(embedding) -> np.ndarray | None:
     return x if len(x) and np.isfinite(x).all() and x.any() else None
 
 
-def _blocks(vectors: DataFrame, parts: int, id_col: str, vec_col: str) -> DataFrame:
-    """(block, ids, data, dims): the usable vectors of each hash block, packed; a block may come as several rows."""
-    dealt = vectors.select(id_col, vec_col).repartition(parts, F.xxhash64(id_col))
+def _blocks(vectors: DataFrame, blocks: int, id_col: str, vec_col: str) -> DataFrame:
+    """(block, ids, data, dims): the usable vectors of each hash block, packed in one row."""
+    dealt = vectors.select(id_col, vec_col, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def run(batches):
-        ids, rows = [], []
+        held: dict[int, tuple[list, list]] = {}
         for b in batches:
-            for i, e in zip(b.column(id_col).to_pylist(), b.column(vec_col).to_pylist()):
+            for i, e, k in zip(b.column(id_col).to_pylist(), b.column(vec_col).to_pylist(), b.column("block").to_pylist()):
                 x = _clean(e)
                 if x is not None and i is not None:
+                    ids, rows = held.setdefault(k, ([], []))
                     ids.append(i)
                     rows.append(x)
-        if rows:
+        for k, (ids, rows) in sorted(held.items()):
             dims = max(map(len, rows))
             data = np.zeros((len(rows), dims))
-            for k, x in enumerate(rows):
-                data[k, : len(x)] = x
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary()), pa.array([dims], pa.int32())], ["ids", "data", "dims"])
+            for j, x in enumerate(rows):
+                data[j, : len(x)] = x
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary()), pa.array([dims], pa.int32())], ["block", "ids", "data", "dims"])
 
-    return arrow_map(dealt, run, "ids binary, data binary, dims int")
+    return arrow_map(dealt, run, "block int, ids binary, data binary, dims int")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 40, share: float = 0.4, block_rows: int = 8192, query_rows: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -110,12 +111,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 40
     A repeated id is ranked row by row. Empty tables give an empty result.
     """
     n, q = vectors.count(), queries.count()
-    index = written(_blocks(vectors, max(1, math.ceil(n / block_rows)), id_col, vec_col), "vectors")
-    asked = written(_blocks(queries, max(1, math.ceil(q / query_rows)), id_col, vec_col).withColumn("part", F.monotonically_increasing_id()), "asked")
-    parts = [r[0] for r in asked.select("part").collect()]  # one number for each query block of query_rows rows
-    cells = index.withColumn("part", F.explode(F.array(*[F.lit(p) for p in parts]) if parts else F.array().cast("array<bigint>")))
-    pairs = cells.hint("merge").join(asked.select("part", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims")), "part")
-    pairs = pairs.repartition(max(1, math.ceil(n / block_rows)) * max(1, len(parts)), F.xxhash64("part", "ids"))
+    blocks, parts = max(1, math.ceil(n / block_rows)), max(1, math.ceil(q / query_rows))
+    index = written(_blocks(vectors, blocks, id_col, vec_col), "vectors")
+    asked = written(_blocks(queries, parts, id_col, vec_col), "asked").select(F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"))
+    cells = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = cells.join(asked, "part").repartition(blocks * parts, "block", "part")
 
     def run(batches):
         for b in batches:

@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,73 +122,86 @@ class CachedEncoder:
 
     MARK, BREAK = "\0", re.compile(r" (?:\s|$)|\n\n|\0")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.newline = self._ids(["\n"])[0]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at, self.flat, self.starts, self.sizes, self.used = {}, [np.zeros(0, np.uint32)], [], [], 0
+        self.at: dict[str, int] = {}
+        self.flat, self.starts, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drop the units that were used only once or twice."""
+        keep = np.flatnonzero(self.hits > 2)
+        place = np.full(len(self.hits), -1)
+        place[keep] = np.arange(len(keep))
+        self.at = {k: n for k, i in self.at.items() if (n := int(place[i])) >= 0}
+        self.flat = self.flat[ragged(self.starts[keep], self.sizes[keep])]
+        self.sizes, self.hits = self.sizes[keep], self.hits[keep] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _ids(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _store(self, keys: list[str], ids: list[list[int]]) -> None:
-        sizes = list(map(len, ids))
-        ends = self.used + np.cumsum(sizes)
-        self.at.update(zip(keys, range(len(self.starts), len(self.starts) + len(keys))))
-        self.starts += (ends - sizes).tolist()
-        self.sizes += sizes
-        self.flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sum(sizes))))
-        self.used += int(sum(sizes))
+    def _store(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.hits = np.concatenate([self.sizes, sizes]), np.concatenate([self.hits, np.zeros(len(keys), np.int64)])
+        self.flat = np.concatenate([self.flat, flat])
 
     def _learn(self, keys: list[str]) -> None:
         """Encode new units, many to a call, told apart by the newline's own id."""
+        names, flats, sizes = [], [], []
         for bare in (False, True):
-            mine = [k for k in keys if (k[:1] == self.MARK) == bare]
-            plain = [k for k in mine if not re.search(r"\s", k) and k != self.MARK]
-            if len(self.newline) == 1:
-                mark = self.newline[0]
-                for a in range(0, len(plain), 2000):
-                    some = plain[a : a + 2000]
-                    joined = "\n".join(k[1:] if bare else f" {k}" for k in some)
-                    parts, now = [], []
-                    for x in self._ids([joined])[0]:
-                        if x == mark:
-                            parts.append(now)
-                            now = []
-                        else:
-                            now.append(x)
-                    self._store(some, [*parts, now])
-            else:
-                self._store(plain, self._ids([k[1:] if bare else f" {k}" for k in plain]))
-            done = set(plain)
-            odd = [k for k in mine if k not in done]
-            self._store(odd, [self.newline if k == "\n" else x for k, x in zip(odd, self._ids([k[1:] if bare else f" {k}" for k in odd]))])
+            mine = [k for k in keys if (k[:1] == self.MARK) == bare and k != "\n" and k != self.MARK]
+            spoken = [k[1:] for k in mine] if bare else [f" {k}" for k in mine]
+            odd: list[int] = []
+            if len(self.newline) != 1:
+                odd = list(range(len(mine)))
+            elif re.search(r"[^\S\n]", "".join(mine)):
+                odd = [i for i, k in enumerate(mine) if re.search(r"\s", k)]
+            if odd:
+                ids = self._ids([spoken[i] for i in odd])
+                names += [mine[i] for i in odd]
+                flats += [np.array(x, np.uint32) for x in ids]
+                sizes.append(np.array(list(map(len, ids)), np.int64))
+                skip = set(odd)
+                mine, spoken = ([x for i, x in enumerate(y) if i not in skip] for y in (mine, spoken))
+            for a in range(0, len(mine), 4000):
+                ids = np.array(self._ids(["\n".join(spoken[a : a + 4000])])[0], np.uint32)
+                mark = np.flatnonzero(ids == self.newline[0])
+                sizes.append(np.diff(np.concatenate([[-1], mark, [len(ids)]])) - 1)
+                flats.append(np.delete(ids, mark))
+                names += mine[a : a + 4000]
+        for k, ids in (("\n", self.newline), (self.MARK, [])):
+            if k in keys:
+                names.append(k)
+                flats.append(np.array(ids, np.uint32))
+                sizes.append(np.array([len(ids)], np.int64))
+        self._store(names, np.concatenate(flats), np.concatenate(sizes))
 
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after another, and the number of ids of each row."""
         if len(self.at) > self.limit:
-            self._clear()
-        cut: list[list[str] | None] = [None if self.BREAK.search(t) or any(s in t for s in self.special) else (self.MARK + t.replace("\n", " \n \0")).split(" ") for t in rows]
-        new = set().union(*(c for c in cut if c)) - self.at.keys()
+            self._forget()
+        whole = [bool(self.BREAK.search(t)) or any(s in t for s in self.special) for t in rows]
+        cut = [[] if w else (self.MARK + t.replace("\n", " \n \0")).split(" ") for t, w in zip(rows, whole)]
+        new = set().union(*cut).difference(self.at)
         if new:
-            self._learn(sorted(new))
-        self.flat = [np.concatenate(self.flat)]
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        out, lengths = [], []
-        for t, c in zip(rows, cut):
-            if c is None:
-                ids = np.array(self._ids([t])[0], np.uint32)
-            else:
-                k = np.fromiter(map(self.at.__getitem__, c), np.int64, len(c))
-                ids = self.flat[0][ragged(starts[k], sizes[k])]
-            out.append(ids)
-            lengths.append(len(ids))
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(lengths, np.int64)
+            self._learn(list(new))
+        units = np.array([len(c) for c in cut], np.int64)
+        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(units.sum()))
+        self.hits += np.bincount(k, minlength=len(self.hits))
+        flat, ends = self.flat[ragged(self.starts[k], self.sizes[k])], np.concatenate([[0], np.cumsum(self.sizes[k])])
+        at = np.concatenate([[0], np.cumsum(units)])
+        lengths = ends[at[1:]] - ends[at[:-1]]
+        if not any(whole):
+            return flat, lengths
+        parts, own = np.split(flat, np.cumsum(lengths)[:-1]), []
+        for t, w, part in zip(rows, whole, parts):
+            own.append(np.array(self._ids([t])[0], np.uint32) if w else part)
+        return np.concatenate(own), np.array([len(o) for o in own], np.int64)
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}

@@ -226,25 +226,42 @@ def sketch(body: bytes) -> tuple[int, list[int]]:
     return node, out
 
 
-def _sketched(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, fps array, shingles array of distinct 32-bit hashes)."""
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, node, fps array)."""
 
     def run(batches):
         for b in batches:
-            rows = bodies(b, text_col)
-            made = [sketch(x) for x in rows]
-            sets = [np.unique(np.array(shingle_hashes(x, shingle_words), np.uint64).astype(np.uint32).view(np.int32)) for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], [id_col, "node", "fps", "shingles"])
+            made = [sketch(x) for x in bodies(b, text_col)]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "fps"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, fps array<long>, shingles array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, fps array<long>")
 
 
-def near_copy_links(nodes: DataFrame, similarity: float, tau: int = 2, bucket_limit: int = 8, far: float = 0.15) -> DataFrame:
-    """(u, v): pairs of `nodes` (node, n, fps, shingles) whose shingle sets have at least the given Jaccard similarity.
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
+    reps = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
+    if wanted.count() <= broadcast_rows:  # 16 bytes a row; larger sets are joined by shuffle
+        reps = F.broadcast(reps)
+    found = docs.select(id_col, text_col).join(reps, F.col(id_col).eqNullSafe(F.col("_rep"))).select(text_col, "_node")
+
+    def run(batches):
+        for b in batches:
+            nodes, sets = [], []
+            for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()):
+                if node == signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body)))):
+                    nodes.append(node)
+                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return arrow_map(found, run, "node long, shingles array<int>").dropDuplicates(["node"])
+
+
+def near_copy_candidates(nodes: DataFrame, tau: int = 2, bucket_limit: int = 8, far: float = 0.15) -> DataFrame:
+    """(u, v): pairs of `nodes` (node, n, fps) that may be near copies.
 
     Candidates share a probed key in any fingerprint. A bucket above bucket_limit is joined in a star to its
     most frequent fingerprint's text, which stands at the middle of a group of copies; other buckets give
-    all pairs. Candidates that differ in over `far` of all fingerprint bits are dropped before the sets are compared.
+    all pairs. Candidates that differ in over `far` of all fingerprint bits are dropped.
     """
     rows = None
     small = nodes.select("node", "n", *[F.col("fps")[r].alias(f"fp{r}") for r in range(SKETCHES)])
@@ -263,9 +280,12 @@ def near_copy_links(nodes: DataFrame, similarity: float, tau: int = 2, bucket_li
     candidates = low.unionByName(high).distinct()
     a, b = (small.select(F.col("node").alias(c), *[F.col(f"fp{r}").alias(f"{c}{r}") for r in range(SKETCHES)]) for c in "uv")
     apart = sum((F.bit_count(F.col(f"u{r}").bitwiseXOR(F.col(f"v{r}"))) for r in range(SKETCHES)), F.lit(0))
-    close = cut(candidates.join(a, "u").join(b, "v").where(apart <= int(far * BITS * SKETCHES)).select("u", "v"))
-    sets = nodes.select("node", "shingles")
-    both = close.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    return cut(candidates.join(a, "u").join(b, "v").where(apart <= int(far * BITS * SKETCHES)).select("u", "v"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets have at least the given Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
     return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
@@ -275,9 +295,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Copies that agree in all words (A-Z lower-cased) are one node; texts without words are one node too.
     """
-    rows = written(_sketched(docs, shingle_words, id_col, text_col), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.first("fps").alias("fps"), F.first("shingles").alias("shingles")), "nodes")
-    roots = connected_components(near_copy_links(nodes, similarity))
+    rows = written(_sketched(docs, id_col, text_col), "sketches")
+    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "nodes")
+    pairs = near_copy_candidates(nodes)
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = written(_shingle_sets(docs, cut(nodes.select("node", "rep").join(ends, "node")), shingle_words, id_col, text_col), "sets")
+    roots = connected_components(verified(pairs, sets, similarity))
     ids = rows.select(id_col, "node")
     return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, bool] = {}
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -20,6 +21,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    # Whole documents can be long: fewer rows at once bound what a Python worker holds.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = os.path.join(tempfile.mkdtemp(prefix="planloom-ship-"), "planloom_shipped.zip")
     with zipfile.ZipFile(path, "w") as z:

@@ -213,7 +213,7 @@ def train(docs: DataFrame, order: int = 5, depth: int = 24, id_col: str = "doc_i
     return Trie.of(levels)
 
 
-def score_documents(docs: DataFrame, order: int = 5, block_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 5, block_chars: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Documents pass in blocks of about block_chars; a block sends its distinct tokens to be counted and gets their

@@ -21,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, words_of
@@ -201,86 +201,146 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, tau: int = 2, bu
     return fps.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SKETCHES = 6
+def node_of(body: bytes) -> int:
+    """Hash of the word sequence."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body))))
 
 
-def sketch(body: bytes) -> tuple[int, list[int]]:
-    """(hash of the word sequence, SKETCHES fingerprints over the distinct words of four bytes or more).
+def prefix(body: bytes, shingle_words: int, similarity: float, common: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """(number of distinct shingles, keys): the first n - ceil(similarity n) + 1 shingles in a fixed order of all shingles.
 
-    Texts with fewer than eight such words use all their words. Single words differ far less between near copies
-    than word shingles do, so equal partitions are likely; the shingles decide in the verification.
+    Sets with that Jaccard similarity share at least ceil(similarity n) shingles, so one of them is in both prefixes,
+    whatever the order is. It is by hash, with the sorted hashes `common` last.
     """
-    words = words_of(body)
-    node = signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-    long = {w for w in words if len(w) >= 4}
-    chosen = long if len(long) >= 8 else set(words)
-    if not chosen:
-        return node, [0] * SKETCHES
-    out = []
-    for seed in range(SKETCHES // 2):
-        raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in chosen]), np.uint8).reshape(-1, 16)
-        ones = np.zeros(128, np.int64)
-        for at in range(0, len(raw), 4096):
-            ones += np.unpackbits(raw[at : at + 4096], axis=1).sum(0, dtype=np.uint16)
-        out += np.packbits(ones * 2 > len(raw)).view(">i8").tolist()
-    return node, out
-
-
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, fps array)."""
+    keys = np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64))
+    n = len(keys)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        keys = keys[np.argsort(common[at] == keys, kind="stable")]
+    return n, keys[: n - math.ceil(similarity * n - 1e-9) + 1] if n else keys
+
+
+def _prefixed(docs: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, node, n, prefix)."""
 
     def run(batches):
         for b in batches:
-            made = [sketch(x) for x in bodies(b, text_col)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "fps"])
+            texts = bodies(b, text_col)
+            made = [prefix(x, shingle_words, similarity) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, fps array<long>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, n int, prefix array<long>")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(text_col, _node): the texts of the documents `rep` of the wanted nodes (node, rep); rows alike in id can bring other texts along."""
     reps = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
     if wanted.count() <= broadcast_rows:  # 16 bytes a row; larger sets are joined by shuffle
         reps = F.broadcast(reps)
-    found = docs.select(id_col, text_col).join(reps, F.col(id_col).eqNullSafe(F.col("_rep"))).select(text_col, "_node")
+    return docs.select(id_col, text_col).join(reps, F.col(id_col).eqNullSafe(F.col("_rep"))).select(text_col, "_node")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
 
     def run(batches):
         for b in batches:
             nodes, sets = [], []
             for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()):
-                if node == signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body)))):
+                if node == node_of(body):
                     nodes.append(node)
                     sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    return arrow_map(found, run, "node long, shingles array<int>").dropDuplicates(["node"])
+    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node long, shingles array<int>").dropDuplicates(["node"])
 
 
-def near_copy_candidates(nodes: DataFrame, tau: int = 2, bucket_limit: int = 8, far: float = 0.15) -> DataFrame:
-    """(u, v): pairs of `nodes` (node, n, fps) that may be near copies.
+def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
+    """(key, node, n, pos, size): prefix shingles found in more than one node.
 
-    Candidates share a probed key in any fingerprint. A bucket above bucket_limit is joined in a star to its
-    most frequent fingerprint's text, which stands at the middle of a group of copies; other buckets give
-    all pairs. Candidates that differ in over `far` of all fingerprint bits are dropped.
+    Shingles found in over `often` prefixes go to the end of the order, so that texts which only share a common
+    passage do not meet. Any order is exact; at most `most_common` such shingles are set back.
     """
-    rows = None
-    small = nodes.select("node", "n", *[F.col("fps")[r].alias(f"fp{r}") for r in range(SKETCHES)])
-    for r in range(SKETCHES):
-        masks = plan(*bit_statistics(small, f"fp{r}"), tau)
-        probes = _keyed(small.select("node", "n", F.col(f"fp{r}").alias("fp")), masks).withColumn("f", F.col("f") + r * 1000)
-        rows = probes if rows is None else rows.unionByName(probes)
-    sizes = rows.groupBy("f", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = cut(rows.join(sizes, ["f", "key"]))
-    lists = rows.where(F.col("size") <= bucket_limit).groupBy("f", "key").agg(F.collect_list("node").alias("in"))
-    pairs = F.flatten(F.transform("in", lambda a: F.transform(F.filter("in", lambda b: b < a), lambda b: F.struct(a.alias("u"), b.alias("v")))))
-    low = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
-    hot = rows.where(F.col("size") > bucket_limit)
-    modes = hot.groupBy("f", "key", "fp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "node")).alias("top")).groupBy("f", "key").agg(F.max(F.struct("n", F.col("top.n").alias("t"), F.col("top.node").alias("node"))).alias("mode"))
-    high = hot.join(modes.select("f", "key", F.col("mode.node").alias("centre")), ["f", "key"]).where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
-    candidates = low.unionByName(high).distinct()
-    a, b = (small.select(F.col("node").alias(c), *[F.col(f"fp{r}").alias(f"{c}{r}") for r in range(SKETCHES)]) for c in "uv")
-    apart = sum((F.bit_count(F.col(f"u{r}").bitwiseXOR(F.col(f"v{r}"))) for r in range(SKETCHES)), F.lit(0))
-    return cut(candidates.join(a, "u").join(b, "v").where(apart <= int(far * BITS * SKETCHES)).select("u", "v"))
+    spark = docs.sparkSession
+    each = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    top = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common)
+    common = np.sort(top.select("key").toArrow()["key"].to_numpy().astype(np.int64))
+    if len(common):
+        sent = spark.sparkContext.broadcast(common)
+
+        def touched(batches):
+            for b in batches:
+                flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]
+                yield b.select(["node", "rep"]).take(pa.array(np.unique(owner)))
+
+        def again(batches):
+            for b in batches:
+                found = [(node, *prefix(body, shingle_words, similarity, sent.value)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
+
+        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}"))
+        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node long, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
+        # A prefix without a common shingle is the same in the new order.
+        same = nodes.join(redone.select("node"), "node", "left_anti").select("node", "n", "prefix")
+        each = same.unionByName(redone).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return cut(each.join(sizes, "key"))
+
+
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """No bound on the overlap by sizes and places of the first common shingle rules the pair out."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return rest >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """rows with the root of each node under the links."""
+    if links is None:
+        return rows.withColumn("root", F.col("node"))
+    roots = connected_components(links).select(F.col("u").alias("node"), F.col("root").alias("_root"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+
+
+def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 3, salts: int = 16) -> DataFrame:
+    """(u, v): verified links whose closure is that of all pairs of nodes that share a key and have the given similarity.
+
+    Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, again
+    with a further centre for what is left; the links found unite nodes. Then every member outside the bucket's
+    largest united part is compared with every member of another part. Pairs within one part need no comparison,
+    as they are connected already, so nothing is lost and a group of near copies costs no pairs.
+    """
+    lists = keys.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "n", "pos")).alias("in"))
+    pairs = lists.select(F.explode("in").alias("a"), "in").select("a", F.explode("in").alias("b")).where("b.node < a.node").where(_may_link("a", "b", similarity))
+    pairs = cut(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct())
+    hot = cut(keys.where(F.col("size") > bucket_limit).select("key", "node", "n", "pos"))
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(hot.select("node")).distinct()
+    sets = sets_of(cut(ends))
+    links = cut(verified(pairs, sets, similarity))
+    # A text in many large buckets stands at the middle of a group of copies.
+    weight = hot.groupBy("node").agg(F.count("*").alias("w"))
+    left = hot.join(weight, "node")
+    for k in range(star_rounds + 1):
+        left = _rooted(left, links)
+        parts = left.groupBy("key", "root").agg(F.count("*").alias("c"), F.max(F.struct("w", "node", "n", "pos")).alias("best"))
+        buckets = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"))
+        left = cut(left.join(buckets, "key"))
+        if left.isEmpty():
+            break
+        outside = left.where("root <> main")
+        if k < star_rounds:
+            some = left if not k else outside
+            centre = some.groupBy("key").agg(F.max(F.struct("w", "node", "n", "pos", "root")).alias("b"))
+            both = left.select("key", F.struct("node", "n", "pos", "root").alias("a")).join(centre, "key")
+        else:
+            salt = F.pmod(F.xxhash64("node"), F.lit(salts))
+            small = outside.select("key", F.struct("node", "n", "pos", "root").alias("b"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt"))
+            both = left.select("key", F.struct("node", "n", "pos", "root").alias("a"), salt.alias("salt")).join(small, ["key", "salt"])
+        more = both.where("a.root <> b.root").where(_may_link("a", "b", similarity)).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+        links = cut(links.unionByName(verified(more, sets, similarity)).distinct())
+        left = left.drop("root", "main")
+    return links
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -291,16 +351,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"):
-    """(groups, rows): groups has (id_col, node, root), one row per document; equal roots are near-duplicate groups.
+    """One row per document: (id_col, node, root); equal roots are near-duplicate groups.
 
     Copies that agree in all words (A-Z lower-cased) are one node; texts without words are one node too.
     """
-    rows = written(_sketched(docs, id_col, text_col), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(id_col).alias("rep"), F.first("fps").alias("fps")), "nodes")
-    pairs = near_copy_candidates(nodes)
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(_shingle_sets(docs, cut(nodes.select("node", "rep").join(ends, "node")), shingle_words, id_col, text_col), "sets")
-    roots = connected_components(verified(pairs, sets, similarity))
+    rows = written(_prefixed(docs, shingle_words, similarity, id_col, text_col), "prefixed")
+    nodes = written(rows.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    keys = prefix_keys(docs, nodes, shingle_words, similarity, id_col, text_col)
+    sets_of = lambda ends: written(_shingle_sets(docs, cut(nodes.select("node", "rep").join(ends, "node")), shingle_words, id_col, text_col), "sets")
+    roots = connected_components(near_copy_links(keys, sets_of, similarity))
     ids = rows.select(id_col, "node")
     return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
 
@@ -317,7 +376,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: fl
 
     def run(batches):
         for b in batches:
-            node = [signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(x)))) for x in bodies(b, text_col)]
+            node = [node_of(x) for x in bodies(b, text_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], [*names, "_node"])
 
     marked = arrow_map(docs, run, schema)

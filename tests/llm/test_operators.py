@@ -405,3 +405,39 @@ def test_nearest_vectors(spark):
     few = frame.where("vec_id < 4")
     assert annforest.nearest(few, few.where("vec_id = 0")).count() == 3
     assert annforest.nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def jaccard_groups(texts):
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    return collections.Counter(map(find, range(len(texts)))), [find(k) for k in range(len(texts))]
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Chains whose ends are unlike the middle, and families that share a passage, in buckets of far over eight texts."""
+    rng = random.Random(11)
+    base, texts = words(rng, 120).split(), []
+    now = list(base)
+    for k in range(60):
+        now = list(now)
+        now[k * 2 : k * 2 + 2] = words(rng, 2).split()
+        texts.append(" ".join(now))
+    shared = words(rng, 150)
+    for _ in range(12):
+        own = words(rng, 60)
+        texts += [f"{shared} {own} {words(rng, 3)}" for _ in range(6)]
+    texts = [t.lower() for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = jaccard_groups(texts)
+    got = collections.Counter(r.root for r in simhash.near_duplicates(frame).collect())
+    assert sorted(want.values()) == sorted(got.values()) and len(want) > 5

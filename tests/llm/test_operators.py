@@ -441,3 +441,18 @@ def test_near_duplicates_in_large_buckets(spark):
     want, _ = jaccard_groups(texts)
     got = collections.Counter(r.root for r in simhash.near_duplicates(frame).collect())
     assert sorted(want.values()) == sorted(got.values()) and len(want) > 5
+
+
+def test_near_duplicates_with_added_text_and_short_texts(spark):
+    rng = random.Random(12)
+    texts = []
+    for size, more in ((200, 40), (100, 20), (40, 8), (8, 1), (12, 1), (5, 0), (3, 0)):
+        for _ in range(25):
+            t = words(rng, size)
+            texts += [t, f"{t} {words(rng, more)}" if more else f"{t.upper()} "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, roots = jaccard_groups([t.lower() for t in texts])
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(frame).collect()}
+    assert sum(n == 2 for n in want.values()) >= 150
+    assert all((roots[i] == roots[i + 1]) <= (got[i] == got[i + 1]) for i in range(0, len(texts), 2))
+    assert len(set(got.values())) == len(want)

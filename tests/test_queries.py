@@ -42,3 +42,12 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_forest_and_solve_read_whole_tables(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    tree = {(r.cap, r.parent, r.child) for r in entry.queries()["spanning_forest"](spark, str(tmp_path)).collect()}
+    assert {c // 400 for _, _, c in tree} == {0, 1, 2} and all(a // 400 == b // 400 and a % 10 == b % 10 for _, a, b in tree)
+    spark.range(300).selectExpr("id as event_id", "id % 3 as user_id", "id as ts", "cast(id % 50 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
+    seqs = sorted((r.cap, r.seq) for r in entry.queries()["smooth_solve"](spark, str(tmp_path)).collect())
+    assert seqs == [(c, k) for c in range(3) for k in range(100)]

@@ -1,7 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are compared as A-Z lower-cased bytes with each run of white space written as one blank. A benchmark item
-is cut into patterns of `span` bytes at half-span steps (a shorter item is one pattern). An occurrence of a pattern of m bytes with at most k
+Texts are compared as case-folded UTF-8 bytes with each run of white space written as one blank. A benchmark item
+is cut into patterns of `span` bytes at half-span steps (a shorter item is one pattern), and for excerpts also into
+patterns of `excerpt` bytes at steps of a third, so that any `excerpt` * 4/3 bytes of an item hold one whole. An item
+under `least` bytes is looked for whole, word by word. An occurrence of a pattern of m bytes with at most k
 edits shares at least m - q + 1 - k q of its q-grams with the text, all on diagonals that differ by at most k.
 
 1. Every q-gram of the text is looked up in the set of all pattern q-grams. Stretches of text where the number of
@@ -28,7 +30,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 22
 
 
+EXCERPT = 48
+
+
 def normal(body: bytes) -> bytes:
+    if not body.isascii():
+        body = body.decode("utf-8", "replace").casefold().encode()
     return b" ".join(body.lower().split())
 
 
@@ -82,17 +89,25 @@ class Patterns:
     owner: np.ndarray
     offset: np.ndarray
     bitmap: np.ndarray
+    short: dict[bytes, list[tuple[int, list[bytes]]]]
 
     @classmethod
-    def of(cls, items: list[tuple[int, bytes]], q: int, rate: float, span: int, least: int) -> Patterns:
-        texts, ids = [], []
+    def of(cls, items: list[tuple[int, bytes]], q: int, rate: float, span: int, least: int, excerpt: int = 0) -> Patterns:
+        """With `excerpt`, shorter patterns and whole items under `least` bytes are looked for too."""
+        texts, ids, short = [], [], {}
         for item, body in items:
             t = normal(body)
             if len(t) < least:
+                if excerpt and t:
+                    short.setdefault(t.split()[0], []).append((item, t.split()))
                 continue
             starts = [0] if len(t) <= span else [*range(0, len(t) - span, span // 2), len(t) - span]
             texts += [t[a : a + span] for a in starts]
             ids += [item] * len(starts)
+            if excerpt and len(t) > excerpt:
+                starts = [*range(0, len(t) - excerpt, excerpt // 3), len(t) - excerpt]
+                texts += [t[a : a + excerpt] for a in starts]
+                ids += [item] * len(starts)
         sizes = np.array([len(t) for t in texts], int)
         budget = np.minimum((sizes * rate).astype(int), np.maximum((sizes - q) // q, 0))
         codes = [grams(t, q) for t in texts]
@@ -102,10 +117,21 @@ class Patterns:
         order = np.argsort(flat, kind="stable")
         bitmap = np.zeros(1 << SLOTS, bool)
         bitmap[slot(flat)] = True
-        return cls(q, texts, np.array(ids), budget, sizes - q + 1 - budget * q, flat[order], owner[order], offset[order], bitmap)
+        return cls(q, texts, np.array(ids), budget, sizes - q + 1 - budget * q, flat[order], owner[order], offset[order], bitmap, short)
 
     def find(self, text: bytes) -> list[tuple[int, int, int]]:
         """(item, edits, start) of each item found in a normal text: its pattern with the fewest edits, then the first place."""
+        return self._whole(text) + self._near(text) if self.short else self._near(text)
+
+    def _whole(self, text: bytes) -> list[tuple[int, int, int]]:
+        words, found = text.split(), {}
+        for k, w in enumerate(words):
+            for item, all_words in self.short.get(w, ()):
+                if item not in found and words[k : k + len(all_words)] == all_words:
+                    found[item] = len(b" ".join(words[:k])) + (k > 0)
+        return [(item, 0, at) for item, at in sorted(found.items())]
+
+    def _near(self, text: bytes) -> list[tuple[int, int, int]]:
         codes = grams(text, self.q)
         if not len(codes) or not self.texts:
             return []
@@ -169,14 +195,14 @@ def _sent(docs: DataFrame, benchmark: DataFrame, q: int, rate: float, span: int,
         if size >= chunk_bytes:
             chunks.append(now)
             now, size = [], 0
-    return [docs.sparkSession.sparkContext.broadcast(Patterns.of(c, q, rate, span, least)) for c in [*chunks, now]]
+    return [docs.sparkSession.sparkContext.broadcast(Patterns.of(c, q, rate, span, least, EXCERPT)) for c in [*chunks, now]]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_items, items array, least_edits) of each document: the benchmark items of which it holds a pattern.
 
-    Items are benchmark rows (item_id, text). An item whose normal text is shorter than `least` bytes, null or
-    empty takes no part, nor does one without id. Null and empty documents hold no item (n_items 0, least_edits null).
+    Items are benchmark rows (item_id, text). An item whose normal text is shorter than `least` bytes is
+    found as a whole only; a null or empty one takes no part, nor does one without id. Null and empty documents hold no item (n_items 0, least_edits null).
     Items are sent to the workers in chunks; a document's finds in all chunks are put together. Repeated rows are
     treated alike; other columns are not read; empty tables give empty results.
     """

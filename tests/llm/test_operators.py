@@ -456,3 +456,14 @@ def test_near_duplicates_with_added_text_and_short_texts(spark):
     assert sum(n == 2 for n in want.values()) >= 150
     assert all((roots[i] == roots[i + 1]) <= (got[i] == got[i + 1]) for i in range(0, len(texts), 2))
     assert len(set(got.values())) == len(want)
+
+
+def test_decontamination_finds_excerpts_other_cases_and_short_items(spark):
+    rng = random.Random(13)
+    item, accents = words(rng, 60), " ".join("é".join(words(rng, 1)) for _ in range(40))
+    bench = spark.createDataFrame([(1, item), (2, accents), (3, "Who wrote it?")], "item_id long, text string")
+    docs = [(10 + k, f"{words(rng, 20)} {item[a : a + 64]} {words(rng, 20)}") for k, a in enumerate(range(0, 120, 5))]
+    docs += [(50, f"{words(rng, 5)} {accents.upper()}"), (51, f"{words(rng, 5)} who WROTE it? {words(rng, 5)}"), (52, words(rng, 300)), (53, "who wrote its end")]
+    got = {r.doc_id: r["items"] for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert [i for i in range(10, 34) if got[i] != [1]] == []
+    assert (got[50], got[51], got[52], got[53]) == ([2], [3], [], [])

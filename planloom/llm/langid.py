@@ -99,13 +99,20 @@ def fit(rows: np.ndarray, langs: list[str], near: float = 0.2, steps: int = 250,
 def train(docs: DataFrame, most_rows: int = 4000, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on documents with crc32(id) mod 4 not 2 and a language: per_language of each, in the order of a hash of the id.
 
-    The total is at most most_rows, shared evenly when there are many languages.
+    The total is at most most_rows, shared evenly when there are many languages. A language's rows are thinned by a
+    threshold on that hash before they are ranked, so that no language gathers in one task. Rows without language
+    take no part; null texts count as empty; a repeated id is picked as a whole; an empty table gives a model that
+    answers `und`. Further columns are not read.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, 4) != 2)).select(id_col, lang_col)
-    kinds = known.select(lang_col).distinct().limit(most_rows).count()
+    place = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 40)) / float(1 << 40)
+    known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, 4) != 2)).select(id_col, F.col(lang_col).alias("_lang"), place.alias("_place"))
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy("_lang").limit(most_rows)  # one row a language
+    kinds = sizes.count()
     each = max(1, min(per_language, most_rows // max(kinds, 1)))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select(id_col).distinct()
+    # A place below this threshold is expected of twice as many rows as needed; only those are ranked.
+    near = known.join(F.broadcast(sizes), "_lang").where(F.col("_place") * F.col("_n") < 2 * each + 50)
+    order = Window.partitionBy("_lang").orderBy("_place", id_col)
+    picked = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select(id_col).distinct()
 
     def run(batches):
         for b in batches:

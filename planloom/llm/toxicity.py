@@ -1,8 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed words. Its logit is w0 + sum w_i + sum over pairs <v_i, v_j>: the pair part lets two
-words count together that say little alone, such as an insult with the mention of a group. The machine is
-fitted on a bounded, hash-ordered sample of labelled rows; scoring reads every text whole.
+A text is the set of its hashed words and word openings. Its logit is w0 + sum w_i + sum over pairs of words <v_i, v_j>:
+the pair part lets two words count together that say nothing alone, such as an insult with the mention of a group.
+Every hash found often enough to be fitted has a weight, and every such word a factor; no term is chosen by its own
+association with the label. What carries no signal is driven to zero by the objective itself: an L1 penalty on weights
+and a group penalty on whole factors, applied to all of them at every step. The machine is fitted on a bounded,
+hash-ordered sample of labelled rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import arrow_map, bodies, remainder, words_of
+from planloom.llm.common import arrow_map, bodies, ragged, remainder, words_of
 
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
@@ -25,13 +28,13 @@ _HASHES: dict[bytes, tuple[int, ...]] = {}
 
 
 def _hashes(word: bytes) -> tuple[int, ...]:
-    """Unmasked hashes of a word and of its opening letters, which inflected insults share."""
+    """Unmasked hashes of a word (even) and of its opening letters (odd), which inflected insults share."""
     found = _HASHES.get(word)
     if found is None:
         if len(_HASHES) > 200_000:
             _HASHES.clear()
         bare = word.strip(EDGES)
-        found = _HASHES[word] = (zlib.crc32(bare), *(zlib.crc32(b"^" + bare[:k]) for k in PREFIXES if len(bare) > k))
+        found = _HASHES[word] = (zlib.crc32(bare) & ~1, *(zlib.crc32(b"^" + bare[:k]) | 1 for k in PREFIXES if len(bare) > k))
     return found
 
 
@@ -57,52 +60,64 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.logit(terms(body, self.bits)), -35, 35))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 20, factors: int = 4, epochs: int = 6, batch: int = 32, rate: float = 0.2, least_docs: int = 3, screen: float = 4.5, l1: float = 1e-3, boost: float = 4.0, seed: int = 7) -> Machine:
-    """Adagrad on the log loss; hashes found in fewer than `least_docs` rows keep weight zero, as do those whose
-    share of rows labelled 1 lies within `screen` standard errors of the whole's.
+def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows end to end, and where each begins."""
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, rows)])
 
-    Rows labelled 1 count `boost` times in the loss.
+
+def _batch(flat: np.ndarray, starts: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, owner) of the picked rows."""
+    sizes = starts[pick + 1] - starts[pick]
+    return flat[ragged(starts[pick], sizes)], np.repeat(np.arange(len(pick)), sizes)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 20, factors: int = 4, epochs: int = 12, batch: int = 64, rate: float = 0.2, least_docs: int = 6, l1: float = 1.5e-3, group: float = 3e-2, boost: float = 4.0, start: float = 0.1, seed: int = 7) -> Machine:
+    """Adagrad on the log loss with proximal steps on all parameters; hashes in fewer than `least_docs` rows keep weight zero.
+
+    Rows labelled 1 count `boost` times. `l1` is the penalty of each weight and `group` that of each factor's length,
+    the latter from the second pass on, so that factors that need each other can grow first.
     """
     rng = np.random.default_rng(seed)
     dims = 1 << bits
-    seen = np.bincount(np.concatenate(rows), minlength=dims) if rows else np.zeros(dims, int)
-    toxic = [r for r, y in zip(rows, labels) if y > 0]
-    seen_toxic = np.bincount(np.concatenate(toxic), minlength=dims) if toxic else np.zeros(dims, int)
-    rate_of_ones = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
-    z = (seen_toxic - seen * rate_of_ones) / np.sqrt(np.maximum(seen, 1) * rate_of_ones * (1 - rate_of_ones))
-    known = np.flatnonzero((seen >= least_docs) & (np.abs(z) >= screen))
+    flat, starts = _packed(rows)
+    known = np.flatnonzero(np.bincount(flat, minlength=dims) >= least_docs)
     place = np.full(dims, -1)
     place[known] = np.arange(len(known))
-    rows = [r[r >= 0] for r in (place[r] for r in rows)]
-    n = len(known)
-    bias = float(np.log(rate_of_ones / (1 - rate_of_ones)))
-    w, v = np.zeros(n), rng.normal(0, 0.01, (n, factors))
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
-    for _ in range(epochs if n else 0):
+    words = known[known % 2 == 0]
+    place_of_word = np.full(dims, -1)
+    place_of_word[words] = np.arange(len(words))
+    every = _packed([r[r >= 0] for r in (place[r] for r in rows)])
+    pairs = _packed([r[r >= 0] for r in (place_of_word[r] for r in rows)])
+    share = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(known)), rng.normal(0, start, (len(words), factors))
+    gw, gv, gb = np.full(len(known), 1e-4), np.full(len(words), 1e-4), 1e-4
+    for epoch in range(epochs if len(known) else 0):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
-            pick = [i for i in order[at : at + batch]]
-            x = np.concatenate([rows[i] for i in pick])
-            sizes = np.array([len(rows[i]) for i in pick])
-            doc = np.repeat(np.arange(len(pick)), sizes)
-            s = np.zeros((len(pick), factors))
-            np.add.at(s, doc, v[x])
-            logit = bias + np.bincount(doc, w[x], len(pick)) + 0.5 * ((s * s).sum(1) - np.bincount(doc, (v[x] ** 2).sum(1), len(pick)))
-            err = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - labels[pick]) * np.where(labels[pick] > 0, boost, 1.0)
-            dw = np.bincount(x, err[doc], n) / len(pick)
-            dv = np.stack([np.bincount(x, err[doc] * (s[doc, f] - v[x, f]), n) for f in range(factors)], 1) / len(pick)
-            hit = np.unique(x)
-            dv[hit] += 1e-3 * v[hit]
-            gw[hit] += dw[hit] ** 2
-            gv[hit] += dv[hit] ** 2
-            gb += err.mean() ** 2
-            step = rate / np.sqrt(gw[hit])
-            moved = w[hit] - step * dw[hit]
-            w[hit] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            v[hit] -= 0.3 * rate * dv[hit] / np.sqrt(gv[hit])
-            bias -= rate * err.mean() / np.sqrt(gb)
+            pick = order[at : at + batch]
+            m = len(pick)
+            x, doc = _batch(*every, pick)
+            y, who = _batch(*pairs, pick)
+            vy = v[y]
+            s = np.stack([np.bincount(who, vy[:, f], m) for f in range(factors)], 1)
+            logit = bias + np.bincount(doc, w[x], m) + 0.5 * ((s * s).sum(1) - np.bincount(who, (vy * vy).sum(1), m))
+            err = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - labels[pick]) * np.where(labels[pick] > 0, boost, 1.0) / m
+            dw = np.bincount(x, err[doc], len(w))
+            pull = err[who][:, None] * (s[who] - vy)
+            dv = np.stack([np.bincount(y, pull[:, f], len(v)) for f in range(factors)], 1)
+            gw += dw * dw
+            gv += (dv * dv).sum(1)
+            gb += err.sum() ** 2
+            step = rate / np.sqrt(gw)
+            w -= step * dw
+            w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+            step = 0.5 * rate / np.sqrt(gv)
+            v -= step[:, None] * dv
+            if epoch:
+                v *= np.maximum(1 - step * group / np.maximum(np.sqrt((v * v).sum(1)), 1e-12), 0)[:, None]
+            bias -= rate * err.sum() / np.sqrt(gb)
     weights, spread = np.zeros(dims, np.float32), np.zeros((dims, factors), np.float32)
-    weights[known], spread[known] = w, v
+    weights[known], spread[words] = w, v
     return Machine(bits, bias, weights, spread)
 
 
@@ -116,15 +131,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([terms(x, bits) for x in bodies(b, text_col)], pa.list_(pa.int64())), b.column(id_col)], ["toxic", "x", id_col])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([terms(x, bits) for x in bodies(b, text_col)], pa.list_(pa.int32())), b.column(id_col)], ["toxic", "x", id_col])
 
     found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # at most two times per_class rows
-    got = arrow_map(found, run, f"toxic int, x array<long>, {id_col} long").toArrow().to_pandas()
+    got = arrow_map(found, run, f"toxic int, x array<int>, {id_col} long").toArrow().to_pandas()
     got = got.assign(n=got["x"].map(len), h=got["x"].map(lambda x: hash(tuple(x)))).sort_values([id_col, "n", "h"], kind="stable")
     return [np.asarray(x, np.int64) for x in got["x"]], got["toxic"].to_numpy(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **how) -> Machine:
+    """The machine fitted on training_rows. Labels other than 0 and 1 (null too) are no training rows; a label without a
+    document is ignored, a repeated id counts as often as it occurs, null and empty texts are rows without terms. Without
+    any labelled row all texts score 0.5. Further columns of both tables are not read."""
     return fit(*training_rows(docs, labels, per_class), **how)
 
 

@@ -353,6 +353,19 @@ def test_toxicity_learns_pairs_and_holds_out(spark, none):
     assert toxicity.toxicity_scores(docs, toxicity.train(docs, marks.limit(0))).count() == 902
 
 
+@pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a == b])
+def test_toxicity_learns_pairs_whose_words_say_nothing_alone(label):
+    rng = random.Random(3)
+    rows, ys = [], []
+    for _ in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = words(rng, 20).split() + ["vermin"] * a + ["strangers"] * b
+        rows.append(toxicity.terms(" ".join(text).encode(), 20))
+        ys.append(float(label(a, b)))
+    machine = toxicity.fit(rows[:2000], np.array(ys[:2000]))
+    assert np.mean([(machine.logit(x) >= 0) == (y > 0) for x, y in zip(rows[2000:], ys[2000:])]) > 0.95
+
+
 def test_ppm_sums_to_one_and_base_score(docs, rows, none):
     texts = [b"abracadabra", b"abra cad", "é".encode(), b""]
     codes, sizes = ppm.strings(texts, 3)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -402,7 +403,7 @@ def test_nearest_vectors(spark):
     x[5] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [None] * 16), (None, x[1].tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = annforest.nearest(frame, frame.where("vec_id % 20 = 0"), block_rows=200, query_rows=10).collect()
+    got = annforest.nearest(frame, frame.where("vec_id % 20 = 0"), block_rows=200, least=40, share=0.35).collect()
     lists = collections.defaultdict(dict)
     for r in got:
         lists[r.query_id][r.rank] = (r.vec_id, r.score)
@@ -420,6 +421,24 @@ def test_nearest_vectors(spark):
     assert annforest.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_nearest_vectors_recall_on_the_sample_tables(spark, size):
+    path = f"/root/testdata/sf{size}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("sample tables are not here")
+    frame = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    lists = collections.defaultdict(set)
+    for r in annforest.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        lists[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, found in lists.items():
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len(found & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert len(lists) == np.sum(ids % 20 == 0) and hits / (20 * len(lists)) >= 0.9
+
+
 def jaccard_groups(texts):
     sets = [frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
     root = list(range(len(texts)))

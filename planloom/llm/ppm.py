@@ -2,34 +2,38 @@
 
 A text is its A-Z lower-cased bytes between a start mark and an end symbol. The model is a trie of byte strings
 of up to `order` + 1 bytes with their counts over all training documents. A symbol is looked for in the longest
-known context; each context that lacks it is left at the price of an escape (method C: distinct symbols over
-distinct symbols plus total), and the symbols it did hold are excluded from the shorter contexts. Symbols of a
+known context; each context that lacks it is left at the price of an escape (method D: half the number of distinct
+symbols over the total), and the symbols it did hold are excluded from the shorter contexts. Symbols of a
 context are also symbols of its suffix, so what is excluded depends on the last context left alone, and each
-node keeps its excluded totals ready. The result for a symbol depends on its last `order` bytes and itself only; it is
-computed once for every stored string and looked up per position.
+node keeps its excluded totals ready. The result for a symbol depends on its last `order` bytes and itself only.
 
-Strings seen in less than 2^-24 of all positions are left out of the trie, which bounds it whatever the corpus.
+Every string counts, however rare, and the trie is never in one place: it is a table dealt into parts by the three bytes
+before the symbol. A part holds all strings that end in such a group, and of the other levels only the strings of
+up to three bytes are needed, at most 2^24. Documents pass in blocks; a block sends its distinct strings to the
+parts and gets a log probability for each back.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import arrow_map, bodies, remainder
-from planloom.storage import written
+from planloom.llm.common import arrow_map, bodies
+from planloom.storage import new_folder, written
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 255  # all bytes but the start mark
 MIX = np.uint64(0x9E3779B97F4A7C15)
 VACANT = np.uint64((1 << 64) - 1)
+SPREAD = 2654435761
 
 
 def held_out(doc_id) -> bool:
@@ -37,20 +41,18 @@ def held_out(doc_id) -> bool:
 
 
 def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, lengths): for each symbol of each text, end included, its last `order` bytes and itself as one number."""
-    pad = bytes([START]) * order
+    """(codes, lengths): for each symbol of each text, end included, its last `order` bytes and itself as one number (order <= 6)."""
+    pad = bytes([START]) * 7
     joined = b"".join(pad + t.lower() + bytes([END]) for t in texts)
-    b = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    code = b[order:].copy()
-    for back in range(1, order + 1):
-        code |= b[order - back : len(b) - back] << np.uint64(8 * back)
+    windows = np.ndarray((max(len(joined) - 7, 0),), ">u8", joined, 0, (1,)).astype(np.uint64)
+    windows &= np.uint64((1 << (8 * (order + 1))) - 1)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    # Positions that end in the next text's padding are dropped.
-    keep = np.ones(len(code), bool)
+    # Windows that end in the next text's padding are dropped.
+    keep = np.ones(len(windows), bool)
     if len(texts) > 1:
-        at = np.cumsum(sizes + order)[:-1] - order
-        keep[(at[:, None] + np.arange(order)).ravel()] = False
-    return code[keep], sizes
+        at = np.cumsum(sizes + 7)[:-1] - 7
+        keep[(at[:, None] + np.arange(7)).ravel()] = False
+    return windows[keep], sizes
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -73,12 +75,13 @@ class Trie:
     kinds: list[np.ndarray]
     rest_total: list[np.ndarray]
     rest_kinds: list[np.ndarray]
-    table: np.ndarray | None = None
-    values: np.ndarray | None = None
 
     @classmethod
     def of(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """levels[i]: distinct strings of i + 1 bytes and their counts; a string's suffix must be in the level below."""
+        """levels[i]: distinct strings of i + 1 bytes and their counts; a string's suffix must be in the level below.
+
+        A level may lack strings if it lacks all with the same context, and those contexts are not asked for.
+        """
         order = len(levels) - 1
         grams, ns = [], []
         for codes, counts in levels:
@@ -100,9 +103,7 @@ class Trie:
             else:
                 rest_total.append(np.zeros(len(c)))
                 rest_kinds.append(np.zeros(len(c)))
-        trie = cls(order, grams, ns, contexts, total, kinds, rest_total, rest_kinds)
-        trie._index()
-        return trie
+        return cls(order, grams, ns, contexts, total, kinds, rest_total, rest_kinds)
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of each symbol's probability after its context, by walking down from the longest context."""
@@ -121,12 +122,12 @@ class Trie:
                 total, kinds = self.total[i][node[here]], self.kinds[i][node[here]]
             gram = _find(self.grams[i], s[here])
             n = self.counts[i][gram] if len(self.counts[i]) else np.zeros(len(here))
-            leave = kinds.copy()
-            if i == 0:
-                leave[self.kinds[0][node[here]] >= SYMBOLS] = 0  # nothing is left to escape to
+            # Where nothing is left to escape to, plain shares.
+            last = np.zeros(len(here), bool) if i else self.kinds[0][node[here]] >= SYMBOLS
             hit = gram >= 0
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(hit, np.log(n) - np.log(total + leave), np.where(total > 0, np.log(leave) - np.log(total + leave), 0.0))
+                found = np.where(last, np.log(n) - np.log(total), np.log(2 * n - 1) - np.log(2 * total))
+                gain = np.where(hit, found, np.where(total > 0, np.log(kinds) - np.log(2 * total), 0.0))
             out[here] += gain
             live[here[hit]] = False
             came[:] = -1
@@ -135,44 +136,80 @@ class Trie:
         out[live] -= math.log(max(SYMBOLS - seen, 1))
         return out
 
-    def _index(self) -> None:
-        """Open-addressing table from each longest string to its log probability."""
-        keys, value = self.grams[self.order], self.log_prob(self.grams[self.order])
+
+class Lookup:
+    """Open-addressing table from distinct codes to their places."""
+
+    def __init__(self, keys: np.ndarray):
         bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.table, self.values = np.full(1 << bits, VACANT), np.zeros(1 << bits)
-        slot, left, self.probes = (keys * MIX >> self.shift).astype(np.int64), np.arange(len(keys)), 0
+        self.codes, self.places = np.full(1 << bits, VACANT), np.zeros(1 << bits, np.int64)
+        slot, left = (keys * MIX >> self.shift).astype(np.int64), np.arange(len(keys))
         while len(left):
-            self.probes += 1
-            free = left[self.table[slot[left]] == VACANT]
-            place, pick = np.unique(slot[free], return_index=True)
-            self.table[place], self.values[place] = keys[free[pick]], value[free[pick]]
-            left = np.setdiff1d(left, free[pick])
+            free = left[self.codes[slot[left]] == VACANT]
+            at, pick = np.unique(slot[free], return_index=True)
+            self.codes[at], self.places[at] = keys[free[pick]], free[pick]
+            left = left[self.codes[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & self.last
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        """log_prob by table; strings outside the trie are walked once each."""
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Places of codes, all of which are in the table."""
         slot = (codes * MIX >> self.shift).astype(np.int64)
-        held = self.table[slot]
-        out = self.values[slot]
-        todo = np.flatnonzero(held != codes)
-        absent = []
-        for _ in range(self.probes):
-            gone = held[todo] == VACANT
-            absent.append(todo[gone])
-            todo = todo[~gone]
-            if not len(todo):
-                break
+        todo = np.flatnonzero(self.codes[slot] != codes)
+        while len(todo):
             slot[todo] = (slot[todo] + 1) & self.last
-            held[todo] = self.table[slot[todo]]
-            hit = held[todo] == codes[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
-            todo = todo[~hit]
-        rest = np.concatenate([*absent, todo]) if absent else todo
-        if len(rest):
-            distinct, back = np.unique(codes[rest], return_inverse=True)
-            out[rest] = self.log_prob(distinct)[back]
-        return out
+            todo = todo[self.codes[slot[todo]] != codes[todo]]
+        return self.places[slot]
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and how often each occurs."""
+    s = np.sort(codes)
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
+
+
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two counts of codes as one."""
+    keys, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([a[1], b[1]]), len(keys)).astype(np.int64)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Eight-byte numbers by byte planes, compressed."""
+    return zlib.compress(numbers.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    return pack(np.diff(codes, prepend=np.uint64(0)))
+
+
+def unpack_codes(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
+
+
+def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each string, from the three bytes before its symbol; `part_column` says the same."""
+    group = codes >> np.uint64(8) & np.uint64(0xFFFFFF)
+    return ((group * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64) % parts
+
+
+def part_column(code: Column, parts: int) -> Column:
+    group = F.shiftrightunsigned(code, 8).bitwiseAND(F.lit(0xFFFFFF).cast("long"))
+    mixed = (group * F.lit(SPREAD).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return (F.shiftrightunsigned(mixed, 8) % F.lit(parts).cast("long")).cast("int")
+
+
+def by_part(codes: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places) of sorted codes, by part, in order within each."""
+    part = part_of(codes, parts)
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return [(int(part[order[a]]), order[a:z]) for a, z in zip(edges, [*edges[1:], len(order)])]
 
 
 def pieces_of(rows: list[bytes], most: int):
@@ -186,105 +223,194 @@ def pieces_of(rows: list[bytes], most: int):
         yield a, len(rows)
 
 
-def train(docs: DataFrame, order: int = 5, depth: int = 24, id_col: str = "doc_id", text_col: str = "text") -> Trie:
-    """Count the strings of all training documents (crc32(id) mod 10 not 0) and build the trie on the driver."""
+def _words(rows: list[bytes]):
+    """(words of each row, places of all distinct words): the end token, which no word equals, is the empty word and has place 0."""
+    place, split = {b"": 0}, []
+    for row in rows:
+        ws = row.lower().split()
+        ws.append(b"")
+        for w in ws:
+            place.setdefault(w, len(place))
+        split.append(ws)
+    return split, place
+
+
+#: Rows of the block table: what a block's texts are, its distinct strings for each part, its words, and counts of training strings.
+TEXTS, CHUNK, WORDS, COUNTS = 0, 1, 2, 3
+FIELDS = "kind int, block long, part int, a binary, b binary, ids array<long>, tokens array<string>, known array<long>"
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+
+
+def _row(kind: int, block: int, part: int | None = None, a=None, b=None, ids=None, tokens=None, known=None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, block, part, a, b, ids, tokens, known), kinds)], NAMES)
+
+
+def _block_rows(block: int, ids: list, rows: list[bytes], order: int, parts: int):
+    """The rows of one block, and the counts of its training strings."""
+    bounds = np.cumsum([0, *map(len, rows)]).astype("<i8")
+    yield _row(TEXTS, block, a=pa.compress(b"".join(rows), "zstd", asbytes=True), b=bounds.tobytes(), ids=ids)
+    seen, learned = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for train in (True, False):
+        some = [r for i, r in zip(ids, rows) if held_out(i) != train]
+        for lo, hi in pieces_of(some, 4_000_000):
+            found = distinct(strings(some[lo:hi], order)[0])
+            seen = merged(seen, found)
+            if train:
+                learned = merged(learned, found)
+    for part, places in by_part(seen[0], parts):
+        yield _row(CHUNK, block, part, a=pack_codes(seen[0][places]))
+    split, place = _words(rows)
+    known = np.zeros(len(place), np.int64)
+    for i, ws in zip(ids, split):
+        if not held_out(i):
+            for w in ws:
+                known[place[w]] += 1
+    yield _row(WORDS, block, tokens=[w.decode() for w in place], known=known.tolist())
+    return learned
+
 
+def _blocks(docs: DataFrame, order: int, parts: int, block_bytes: int, most_counts: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        keys, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            rows = bodies(b, text_col)
-            for lo, hi in pieces_of(rows, 2_000_000):
-                k, n = np.unique(strings(rows[lo:hi], order)[0], return_counts=True)
-                both, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                keys, ns = both, np.bincount(back, np.concatenate([ns, n]), len(both)).astype(np.int64)
-        for a in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)].astype(np.int64)), pa.array(ns[a : a + (1 << 16)])], ["code", "n"])
-
-    learned = docs.where(remainder(id_col, 10) != 0).select(text_col)
-    counts = written(arrow_map(learned, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "strings")
-    everything = counts.agg(F.sum("n")).first()[0] or 0
-    least = everything / (1 << depth)
-    levels = []
-    for size in range(1, order + 2):
-        mask = F.lit((1 << (8 * size)) - 1)
-        level = counts.select(F.col("code").bitwiseAND(mask).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        got = level.toArrow()  # at most 2^depth rows
-        levels.append((got["code"].to_numpy().astype(np.int64).astype(np.uint64), got["n"].to_numpy().astype(float)))
-    return Trie.of(levels)
-
-
-def score_documents(docs: DataFrame, order: int = 5, block_chars: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+        task = TaskContext.get().partitionId()
+        k, ids, rows, size, counts = 0, [], [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    Documents pass in blocks of about block_chars; a block sends its distinct tokens to be counted and gets their
-    counts back, so neither texts nor a vocabulary have to fit anywhere whole. Null text counts as empty (one end
-    token); a null id counts as the empty text in the split; repeated rows stay; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(train(docs, order, id_col=id_col, text_col=text_col))  # at most 2^24 strings a level
-
-    def block(name, ids, rows):
-        trie, place, idx, n, ptr, words, scores = sent.value, {}, [], [], [0], [], []
-        known: list[int] = []
-        for lo, hi in pieces_of(rows, 1_000_000):
-            codes, sizes = strings(rows[lo:hi], order)
-            lp = trie.score(codes)
-            scores += (np.add.reduceat(lp, np.cumsum(sizes) - sizes) / math.log(10)).tolist()
-        held = [held_out(i) for i in ids]
-        place[b""] = 0  # the end token; no word is empty
-        known.append(0)
-        for row, out in zip(rows, held):
-            ws = row.lower().split()
-            words.append(len(ws))
-            ws.append(b"")
-            here: dict[bytes, int] = {}
-            for w in ws:
-                here[w] = here.get(w, 0) + 1
-            for w, c in here.items():
-                at = place.setdefault(w, len(place))
-                if at == len(known):
-                    known.append(0)
-                if not out:
-                    known[at] += c
-                idx.append(at)
-                n.append(c)
-            ptr.append(len(idx))
-        data = [np.array(idx, "<u4").tobytes(), np.array(n, "<u4").tobytes(), np.array(ptr, "<i8").tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([words], pa.list_(pa.int64())), pa.array([scores], pa.list_(pa.float64())), *[pa.array([d], pa.binary()) for d in data], pa.array([[w.decode() for w in place]], pa.list_(pa.string())), pa.array([known], pa.list_(pa.int64()))], ["block", "ids", "held", "words", "scores", "idx", "n", "ptr", "tokens", "known"])
+        def flush():
+            for a in range(0, len(counts[0]), 1 << 16):
+                yield _row(COUNTS, task << 32, a=pack_codes(counts[0][a : a + (1 << 16)]), b=pack(counts[1][a : a + (1 << 16)]))
 
-    def run(batches):
-        part, k, ids, rows, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
             for i, t in zip(b.column(id_col).to_pylist(), bodies(b, text_col)):
                 ids.append(i)
                 rows.append(t)
                 size += len(t)
-                if size >= block_chars:
-                    yield block(part << 32 | k, ids, rows)
+                if size >= block_bytes:
+                    counts = merged(counts, (yield from _block_rows(task << 32 | k, ids, rows, order, parts)))
                     k, ids, rows, size = k + 1, [], [], 0
+                    if len(counts[0]) >= most_counts:
+                        yield from flush()
+                        counts = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if ids:
-            yield block(part << 32 | k, ids, rows)
+            counts = merged(counts, (yield from _block_rows(task << 32 | k, ids, rows, order, parts)))
+        yield from flush()
+
+    return arrow_map(docs.select(id_col, text_col), run, FIELDS)
+
+
+def _string_counts(blocks: DataFrame) -> DataFrame:
+    """(code, n): all strings of the training documents."""
+
+    def run(batches):
+        for b in batches:
+            for a, n in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack_codes(a).astype(np.int64)), pa.array(unpack(n, np.int64))], ["code", "n"])
 
-    blocks = written(arrow_map(docs.select(id_col, text_col), run, "block long, ids array<long>, held array<boolean>, words array<long>, scores array<double>, idx binary, n binary, ptr binary, tokens array<string>, known array<long>"), "blocks")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("tokens", "known")).alias("pos", "t")).select("block", "pos", F.col("t.tokens").alias("token"), F.col("t.known").alias("known"))
+    return arrow_map(blocks.where(F.col("kind") == COUNTS).select("a", "b"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _levels(codes: np.ndarray, n: np.ndarray, sizes) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for size in sizes:
+        keys, back = np.unique(codes & np.uint64((1 << (8 * size)) - 1), return_inverse=True)
+        out.append((keys, np.bincount(back, n, len(keys))))
+    return out
+
+
+def _answers(chunks: DataFrame, counts: DataFrame, order: int, parts: int) -> DataFrame:
+    """(block, part, lp): log probabilities of the strings of each chunk, in order."""
+    short = min(order + 1, 3)
+    low = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << (8 * short)) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most 2^24 rows
+    spark = counts.sparkSession
+    sent = spark.sparkContext.broadcast((low["code"].to_numpy().astype(np.uint64), low["n"].to_numpy().astype(float)))
+    model = counts.select(part_column(F.col("code"), parts).alias("part"), F.lit(None).cast("long").alias("block"), "code", "n", F.lit(None).cast("binary").alias("a"))
+    asked = chunks.select("part", "block", F.lit(None).cast("long").alias("code"), F.lit(None).cast("long").alias("n"), "a")
+    # Nulls sort first: a part's strings come before the chunks that ask for it.
+    both = model.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "block")
+
+    def run(batches):
+        low_levels = _levels(*sent.value, range(1, short + 1))
+        now, codes, ns, trie = None, [], [], None
+        for b in batches:
+            part, block = b.column("part").to_numpy(), b.column("block")
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi <= lo:
+                    continue
+                if part[lo] != now:
+                    now, codes, ns, trie = part[lo], [], [], None
+                model_rows = block.slice(lo, hi - lo).null_count
+                if model_rows:
+                    codes.append(b.column("code").slice(lo, model_rows).to_numpy().astype(np.uint64))
+                    ns.append(b.column("n").slice(lo, model_rows).to_numpy().astype(float))
+                for j in range(lo + model_rows, hi):
+                    if trie is None:
+                        mine, n = np.concatenate([*codes, np.zeros(0, np.uint64)]), np.concatenate([*ns, np.zeros(0)])
+                        trie, codes, ns = Trie.of(low_levels + _levels(mine, n, range(short + 1, order + 2))), [], []
+                    lp = trie.log_prob(unpack_codes(b.column("a")[j].as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array([block[j].as_py()]), pa.array([int(now)], pa.int32()), pa.array([pack(lp)], pa.binary())], ["block", "part", "lp"])
+
+    return arrow_map(both, run, "block long, part int, lp binary")
+
+
+def score_documents(docs: DataFrame, order: int = 5, block_bytes: int = 8_000_000, part_bytes: int = 1 << 30, most_counts: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+
+    Documents pass in blocks of about block_bytes; a block sends its distinct strings and words to be looked up and
+    gets the answers back, so neither texts nor model nor vocabulary have to fit anywhere whole. `part_bytes` of
+    text get one part of the model each, and there are at least 64. The block table is written once, bucketed by block, so its texts are not
+    shuffled. Null text counts as empty (one end token); a null id counts as the empty text in the split; repeated
+    rows stay; an empty table gives an empty result. Further columns are not read.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    parts, buckets = max(64, math.ceil(size / part_bytes)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (8 * block_bytes)))
+    name = f"ppm_blocks_{uuid.uuid4().hex}"
+    made = _blocks(docs, order, parts, block_bytes, most_counts, id_col, text_col)
+    made.write.partitionBy("kind").bucketBy(buckets, "block").option("path", new_folder(spark, "blocks")).saveAsTable(name)
+    blocks = spark.table(name)
+    answers = _answers(blocks.where(F.col("kind") == CHUNK).select("block", "part", "a"), written(_string_counts(blocks), "strings"), order, parts)
+    scores = answers.groupBy("block").agg(F.collect_list(F.struct("part", "lp")).alias("answers"))
+
+    each = blocks.where(F.col("kind") == WORDS).select("block", F.posexplode(F.arrays_zip("tokens", "known")).alias("pos", "t")).select("block", "pos", F.col("t.tokens").alias("token"), F.col("t.known").alias("known"))
     counts = written(each.groupBy("token").agg(F.sum("known").alias("c")).where("c > 0"), "tokens")
     n_all, v_all = counts.agg(F.sum("c"), F.count("*")).first()
     n_all = n_all or 0
-    back = each.select("block", "pos", "token").join(counts, "token").groupBy("block").agg(F.collect_list("pos").alias("at"), F.collect_list("c").alias("c"))
-    joined = blocks.select("block", "ids", "held", "words", "scores", "idx", "n", "ptr", F.size("tokens").alias("kinds")).join(back, "block", "left").drop("block")
+    words = each.select("block", "pos", "token").join(counts, "token").groupBy("block").agg(F.collect_list("pos").alias("at"), F.collect_list("c").alias("c"))
+    texts = blocks.where(F.col("kind") == TEXTS).select("block", "ids", "a", "b")
+    joined = texts.join(scores, "block", "left").join(words, "block", "left").drop("block")
 
     def finish(batches):
         under = n_all + 0.1 * (v_all + 1)
         for b in batches:
             for j in range(b.num_rows):
                 r = {c: b.column(c)[j] for c in b.schema.names}
-                c = np.zeros(r["kinds"].as_py())
+                ids, bounds = r["ids"].values.to_pylist(), np.frombuffer(r["b"].as_py(), "<i8")
+                body = pa.decompress(r["a"].as_py(), int(bounds[-1]), "zstd", asbytes=True)
+                rows = [body[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+                parts_of = sorted((x["part"], x["lp"]) for x in r["answers"].as_py())
+                keys = np.zeros(0, np.uint64)
+                pieces = list(pieces_of(rows, 1_000_000))
+                for lo, hi in pieces:
+                    keys = merged((keys, np.zeros(len(keys))), distinct(strings(rows[lo:hi], order)[0]))[0]
+                lp = np.empty(len(keys))
+                for (part, places), (answered, raw) in zip(by_part(keys, parts), parts_of, strict=True):
+                    assert part == answered
+                    lp[places] = unpack(raw, float)
+                look, scores = Lookup(keys), []
+                for lo, hi in pieces:
+                    codes, sizes = strings(rows[lo:hi], order)
+                    scores += (np.add.reduceat(lp[look(codes)], np.cumsum(sizes) - sizes) / math.log(10)).tolist()
+                split, place = _words(rows)
+                c = np.zeros(len(place))
                 if r["at"].is_valid:
                     c[r["at"].values.to_numpy()] = r["c"].values.to_numpy()
-                idx, n, ptr = np.frombuffer(r["idx"].as_py(), "<u4"), np.frombuffer(r["n"].as_py(), "<u4").astype(float), np.frombuffer(r["ptr"].as_py(), "<i8")
-                base = np.add.reduceat(np.log10((c[idx] + 0.1) / under) * n, ptr[:-1])
-                seen = np.add.reduceat((c[idx] > 0) * n, ptr[:-1]).astype(np.int64)
-                ids = r["ids"].values
-                yield pa.RecordBatch.from_arrays([ids, r["held"].values, pa.array(r["words"].values.to_numpy() + 1), pa.array(seen), pa.array(np.full(len(ids), n_all, np.int64)), pa.array(base), r["scores"].values], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return arrow_map(joined, finish, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                flat = np.fromiter((place[w] for ws in split for w in ws), np.int64)
+                ends = np.cumsum([len(ws) for ws in split])
+                starts = np.append(0, ends[:-1])
+                base = np.add.reduceat(np.log10((c + 0.1) / under)[flat], starts)
+                seen = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(ends - starts), pa.array(seen), pa.array(np.full(len(ids), n_all, np.int64)), pa.array(base), pa.array(scores)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = written(arrow_map(joined, finish, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scored")
+    spark.sql(f"DROP TABLE {name}")
+    return out

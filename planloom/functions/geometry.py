@@ -94,12 +94,23 @@ def checked_sigma(value: Column, sigma: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("measurement needs a finite value and a sigma of zero or more")).cast("double")).otherwise(sigma)
 
 
-def prior_sigma(value: Column, tier: Column, kind: str) -> Column:
-    """Sigma without depth sensing: relative priors by tier, with a floor for each kind of measurement."""
-    relative = F.when(tier == "photos", 0.18).otherwise(0.12)
+# Share of a value that its sigma is, and least sigma of wall lengths and ceiling heights.
+PRIOR_SHARE = {"photos": 0.18, "video": 0.12}
+PRIOR_WALL = {"envelope": 0.12, "segmented": 0.15}
+PRIOR_CEILING = 0.2
+
+
+def prior_sigma(value: Column, tier: Column, kind: str, layout: str = "envelope") -> Column:
+    """Sigma without depth sensing: a share of the value by tier, twice that for areas; only lengths and heights have a floor.
+
+    A layout is an envelope around a room's points or, for video alone, segmented by what the path saw.
+    """
+    share = F.when(tier == "photos", PRIOR_SHARE["photos"]).otherwise(PRIOR_SHARE["video"])
     if kind == "area":
-        return F.greatest(F.lit(0.2), 2 * relative * value)
-    return F.greatest(F.lit({"length": 0.12, "height": 0.15, "perimeter": 0.2}[kind]), relative * value)
+        return 2 * share * value
+    if kind == "perimeter":
+        return share * value
+    return F.greatest(F.lit({"length": PRIOR_WALL[layout], "height": PRIOR_CEILING}[kind]), share * value)
 
 
 def evenly_spaced(n_rows: int, n: int) -> list[int]:

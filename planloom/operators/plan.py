@@ -10,11 +10,14 @@ from planloom.functions import geometry as G
 
 ROOM = ("cap", "room")
 # Fixed values.
-SIGMA_UNMEASURED = 0.10
-SIGMA_SURFACE = 0.005
-SCALE = 0.002
-SIGMA_JAMB = 0.015
-SIGMA_JAMB_WEAK = 0.04
+SIGMA_UNMEASURED = 0.05
+SIGMA_SURFACE = 0.02
+SCALE = 0.01
+SIGMA_JAMB = 0.008
+SIGMA_JAMB_WEAK = 0.03
+SIGMA_HEAD = 0.03
+SIGMA_SILL = 0.02
+JAMB_POINTS = 20
 
 
 def _ring(order: str = "i"):
@@ -72,6 +75,29 @@ def propagated(walls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, rooms
 
 
+def ceiling_sigma(rooms: DataFrame) -> DataFrame:
+    """Adds height_sigma to rooms with height and the spread and number of points of both layers; null without a ceiling."""
+    layer = lambda part: F.col(f"{part}_spread") / F.sqrt(F.greatest(F.col(f"{part}_points"), F.lit(1)))
+    return rooms.withColumn("height_sigma", F.when(F.col("height").isNotNull(), G.root_sum_square(layer("ceiling"), layer("floor"), F.lit(SIGMA_SURFACE), SCALE * F.col("height"))))
+
+
+def opening_sigmas(openings: DataFrame, walls: DataFrame) -> DataFrame:
+    """Adds height and the sigmas of offset, width, height and sill to openings (wall, width, bottom, top, jamb_points).
+
+    An offset counts from the corner with the wall before; walls hold their sigma. Only windows have a sill.
+    """
+    w, whole = _ring()
+    before = walls.select(*ROOM, F.col("i").alias("wall"), G.ring_before(F.col("sigma"), w, whole).alias("_before"))
+    jamb = F.when(F.col("jamb_points") > JAMB_POINTS, SIGMA_JAMB).otherwise(SIGMA_JAMB_WEAK)
+    return openings.join(before, [*ROOM, "wall"], "left").withColumns({
+        "height": F.col("top") - F.col("bottom"),
+        "offset_sigma": G.root_sum_square(F.col("_before"), jamb),
+        "width_sigma": G.root_sum_square(jamb, jamb, SCALE * F.col("width")),
+        "height_sigma": G.root_sum_square(F.lit(SIGMA_HEAD), SCALE * F.col("top")),
+        "bottom_sigma": F.when(F.col("kind") == "window", F.lit(SIGMA_SILL)),
+    }).drop("_before")
+
+
 def footprint(rooms: DataFrame) -> DataFrame:
     """(cap, value, sigma): areas add up, and so do their sigmas, which share their causes."""
     return rooms.groupBy("cap").agg(F.sum("area").alias("value"), F.sum("area_sigma").alias("sigma"))

@@ -31,8 +31,8 @@ def room_transitions(spark, sf_dir):
     return path.room_transitions(visits(spark, sf_dir))
 
 
-ANCHORS = POINTS + """, anc AS (SELECT cap, a * 0.25::DOUBLE AS anchor FROM (SELECT DISTINCT cap FROM pts), generate_series(0, 10) AS g(a)),
-vals AS (SELECT l_suppkey % 8 AS cap, l_extendedprice / 40000 AS value, l_orderkey * 10000000000 + l_partkey * 100000 + (l_extendedprice * 100)::BIGINT % 100000 AS vid FROM lineitem WHERE l_linenumber = 1),
+ANCHORS = POINTS + """, anc AS (SELECT cap, a * 0.25::DOUBLE AS anchor FROM (SELECT DISTINCT l_orderkey // 40 AS cap FROM lineitem), generate_series(0, 10) AS g(a)),
+vals AS (SELECT l_orderkey // 40 AS cap, l_extendedprice / 40000 AS value, l_orderkey * 10000000000 + l_partkey * 100000 + (l_extendedprice * 100)::BIGINT % 100000 AS vid FROM lineitem),
 near AS (SELECT cap, vid, value, anchor, row_number() OVER (PARTITION BY cap, vid, value ORDER BY abs(anchor - value), anchor) AS k FROM (SELECT DISTINCT cap, vid, value FROM vals) JOIN anc USING (cap)),
 res AS (SELECT cap, vid, value, anchor, anchor - value AS residual FROM near WHERE k = 1 AND abs(anchor - value) < 0.09)"""
 
@@ -40,7 +40,7 @@ res AS (SELECT cap, vid, value, anchor, anchor - value AS residual FROM near WHE
 def _residuals(spark, sf_dir):
     from planloom.plans.views import read
 
-    v = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 8).alias("cap"), (F.col("l_extendedprice") / 40000).alias("value"), (F.col("l_orderkey") * F.lit(10000000000) + F.col("l_partkey") * 100000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100000).alias("vid")).distinct()
+    v = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("cap"), (F.col("l_extendedprice") / 40000).alias("value"), (F.col("l_orderkey") * F.lit(10000000000) + F.col("l_partkey") * 100000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100000).alias("vid")).distinct()
     a = v.select("cap").distinct().select("cap", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("a")).select("cap", (F.col("a") * 0.25).alias("anchor"))
     return path.nearest_anchor(v, a)
 
@@ -162,19 +162,19 @@ def point_labels(spark, sf_dir):
     return raster.lookup(p, _labels(spark, sf_dir)).groupBy("cap", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {LAB}, {ROOMS}, s AS (SELECT room, cap % 8 AS cap, x0 AS u0, x0 + w AS u1, y0 AS v0, y0 + h AS v1 FROM rooms WHERE cap < 8),
+@query(f"""WITH {LAB}, {ROOMS}, s AS (SELECT room, cap % 8 AS cap, x0 AS u0, x0 + w AS u1, y0 AS v0, y0 + h AS v1 FROM rooms),
 q AS (SELECT room, cap, c, r FROM s, generate_series(0, 100) AS g(c), generate_series(0, 100) AS h(r) WHERE c >= floor(u0 / 0.25) AND c < u1 / 0.25 AND r >= floor(v0 / 0.25) AND r < v1 / 0.25)
 SELECT room, round(avg(CASE WHEN label IS NULL THEN 0 ELSE 1 END) + 1e-9, 6) AS share FROM q LEFT JOIN lab USING (cap, r, c) GROUP BY room""")
 def swept_share(spark, sf_dir):
-    s = rooms(spark, sf_dir).where("cap < 8").select("room", F.col("cap"), F.col("x0").alias("u0"), (F.col("x0") + F.col("w")).alias("u1"), F.col("y0").alias("v0"), (F.col("y0") + F.col("h")).alias("v1"))
+    s = rooms(spark, sf_dir).select("room", (F.col("cap") % 8).alias("cap"), F.col("x0").alias("u0"), (F.col("x0") + F.col("w")).alias("u1"), F.col("y0").alias("v0"), (F.col("y0") + F.col("h")).alias("v1"))
     return raster.swept_share(s, _labels(spark, sf_dir), 0.25, ("room",)).select("room", F.round(F.col("share") + 1e-9, 6).alias("share"))
 
 
-@query(f"""WITH RECURSIVE {ROOMS}, e AS (SELECT room AS a, room + 150 AS b FROM rooms WHERE room % 4 = 0 AND room + 150 < 2000 UNION ALL SELECT room, room + 50 FROM rooms WHERE room % 9 = 0 AND room + 50 < 2000),
+@query(f"""WITH RECURSIVE {ROOMS}, e AS (SELECT room AS a, room + 15 AS b FROM rooms WHERE room % 4 = 0 AND room // 200 = (room + 15) // 200 UNION ALL SELECT room, room + 5 FROM rooms WHERE room % 9 = 0 AND room // 200 = (room + 5) // 200),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(u, v) AS (SELECT a, a FROM s UNION SELECT walk.u, s.b FROM walk JOIN s ON s.a = walk.v)
 SELECT u, min(v) AS root FROM walk GROUP BY u""")
 def component_labels(spark, sf_dir):
     r = rooms(spark, sf_dir).select("room")
-    a = r.where("room % 4 = 0 and room + 150 < 2000").select(F.col("room").alias("u"), (F.col("room") + 150).alias("v"))
-    b = r.where("room % 9 = 0 and room + 50 < 2000").select(F.col("room").alias("u"), (F.col("room") + 50).alias("v"))
+    a = r.where("room % 4 = 0 and floor(room / 200) = floor((room + 15) / 200)").select(F.col("room").alias("u"), (F.col("room") + 15).alias("v"))
+    b = r.where("room % 9 = 0 and floor(room / 200) = floor((room + 5) / 200)").select(F.col("room").alias("u"), (F.col("room") + 5).alias("v"))
     return graph.connected_components(a.unionByName(b))

@@ -15,15 +15,18 @@ edges AS (SELECT a.cap, a.room, a.i, a.u, a.v, b.u AS nu, b.v AS nv, sqrt((b.u -
   CASE WHEN abs(b.u - a.u) >= abs(b.v - a.v) THEN 0 ELSE 1 END AS axis FROM ring a JOIN ring b ON a.cap = b.cap AND a.room = b.room AND b.i = (a.i + 1) % 4),
 metrics AS (SELECT cap, room, count(*) AS corners, sum(u * nv - nu * v) / 2 AS signed_area, abs(sum(u * nv - nu * v) / 2) AS area, sum(length) AS perimeter FROM edges GROUP BY ALL)"""
 PLAN = BASE + """, w0 AS (SELECT *, (room + i) % 3 <> 0 AS snapped, 0.01 * (1 + room % 4) AS spread, 50 + room % 200 AS n_points FROM edges),
-w1 AS (SELECT *, CASE WHEN snapped THEN sqrt((spread / sqrt(greatest(n_points, 1))) ** 2 + 0.005 ** 2) ELSE 0.10 END AS sigma FROM w0),
-walls AS (SELECT a.*, sqrt(p.sigma ** 2 + n.sigma ** 2 + (0.002 * a.length) ** 2) AS length_sigma FROM w1 a
+w1 AS (SELECT *, CASE WHEN snapped THEN sqrt((spread / sqrt(greatest(n_points, 1))) ** 2 + 0.02 ** 2) ELSE 0.05 END AS sigma FROM w0),
+walls AS (SELECT a.*, sqrt(p.sigma ** 2 + n.sigma ** 2 + (0.01 * a.length) ** 2) AS length_sigma FROM w1 a
   JOIN w1 p ON p.cap = a.cap AND p.room = a.room AND p.i = (a.i + 3) % 4 JOIN w1 n ON n.cap = a.cap AND n.room = a.room AND n.i = (a.i + 1) % 4),
 r0 AS (SELECT cap, room, sum((length * sigma) ** 2) AS a2, sum(4 * sigma ** 2) AS p2 FROM w1 GROUP BY ALL),
-proom AS (SELECT m.cap, m.room, area, sqrt(a2 + (2 * 0.002 * area) ** 2) AS area_sigma, perimeter, sqrt(p2 + (0.002 * perimeter) ** 2) AS perimeter_sigma,
-  CASE WHEN m.room % 6 <> 0 THEN 2.4 + (m.room % 5) / 10 END AS height, CASE WHEN m.room % 6 <> 0 THEN 0.02::DOUBLE END AS height_sigma FROM metrics m JOIN r0 USING (cap, room)),
+proom AS (SELECT m.cap, m.room, area, sqrt(a2 + (2 * 0.01 * area) ** 2) AS area_sigma, perimeter, sqrt(p2 + (0.01 * perimeter) ** 2) AS perimeter_sigma,
+  CASE WHEN m.room % 6 <> 0 THEN 2.4 + (m.room % 5) / 10 END AS height, CASE WHEN m.room % 6 <> 0 THEN sqrt((0.01 * (1 + m.room % 3) / sqrt(greatest(m.room % 700, 1))) ** 2 + (0.012 / sqrt(greatest(m.room % 300, 1))) ** 2 + 0.02 ** 2 + (0.01 * (2.4 + (m.room % 5) / 10)) ** 2) END AS height_sigma FROM metrics m JOIN r0 USING (cap, room)),
 foot AS (SELECT cap, sum(area) AS value, sum(area_sigma) AS sigma FROM proom GROUP BY cap),
-opens AS (SELECT cap, room, 0 AS opening, (room % 4)::INTEGER AS wall, 0.3::DOUBLE AS "offset", 0.5 + (room % 10) / 20 AS width, 0.02::DOUBLE AS width_sigma, 2.0::DOUBLE AS height,
-  0.03::DOUBLE AS height_sigma, CASE WHEN room % 3 = 0 THEN room + 50 END AS connects_to FROM rooms),
+opens AS (SELECT *, top - bottom AS height, sqrt(before ** 2 + jamb ** 2) AS offset_sigma, sqrt(2 * jamb ** 2 + (0.01 * width) ** 2) AS width_sigma, sqrt(0.03 ** 2 + (0.01 * top) ** 2) AS height_sigma,
+  CASE WHEN kind = 'window' THEN 0.02::DOUBLE END AS bottom_sigma FROM (SELECT r.cap, r.room, 0 AS opening, (r.room % 4)::INTEGER AS wall, 0.3::DOUBLE AS "offset", 0.5 + (r.room % 10) / 20 AS width,
+   CASE WHEN r.room % 2 = 0 THEN 'window' ELSE 'door' END AS kind, CASE WHEN r.room % 2 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS bottom, 2.0::DOUBLE AS top,
+   CASE WHEN r.room % 37 > 20 THEN 0.008::DOUBLE ELSE 0.03::DOUBLE END AS jamb, p.sigma AS before, CASE WHEN r.room % 3 = 0 THEN r.room + 7 END AS connects_to
+   FROM rooms r JOIN w1 p ON p.cap = r.cap AND p.room = r.room AND p.i = (r.room % 4 + 3) % 4)),
 dims AS (SELECT cap, 'footprint_area' AS dimension, value, sigma FROM foot
   UNION ALL SELECT cap, 'room-' || room || '/floor_area', area, area_sigma FROM proom
   UNION ALL SELECT cap, 'room-' || room || '/ceiling_height', height, height_sigma FROM proom WHERE height IS NOT NULL
@@ -54,8 +57,10 @@ def plan_tables(spark, sf_dir):
     w = P.edges(rg).withColumns({"snapped": (k + F.col("i")) % 3 != 0, "spread": 0.01 * (1 + k % 4), "n_points": 50 + k % 200}).join(m.select("cap", "room", "area"), ["cap", "room"])
     walls, totals = P.propagated(P.wall_sigma(w))
     seen = k % 6 != 0
-    totals = totals.withColumns({"height": F.when(seen, 2.4 + (k % 5) / 10), "height_sigma": F.when(seen, F.lit(0.02))})
-    openings = r.select("cap", "room", F.lit(0).alias("opening"), (k % 4).cast("int").alias("wall"), F.lit(0.3).alias("offset"), (0.5 + (k % 10) / 20).alias("width"), F.lit(0.02).alias("width_sigma"), F.lit(2.0).alias("height"), F.lit(0.03).alias("height_sigma"), F.when(k % 3 == 0, k + 50).alias("connects_to"))
+    totals = P.ceiling_sigma(totals.withColumns({"height": F.when(seen, 2.4 + (k % 5) / 10), "ceiling_spread": 0.01 * (1 + k % 3), "ceiling_points": k % 700, "floor_spread": F.lit(0.012), "floor_points": k % 300}))
+    window = k % 2 == 0
+    openings = r.select("cap", "room", F.lit(0).alias("opening"), (k % 4).cast("int").alias("wall"), F.lit(0.3).alias("offset"), (0.5 + (k % 10) / 20).alias("width"), F.when(window, "window").otherwise("door").alias("kind"), F.when(window, 0.9).otherwise(0.0).alias("bottom"), F.lit(2.0).alias("top"), (k % 37).alias("jamb_points"), F.when(k % 3 == 0, k + 7).alias("connects_to"))
+    openings = P.opening_sigmas(openings, walls)
     return rg, walls, totals, openings
 
 
@@ -113,9 +118,9 @@ def overlap_area(spark, sf_dir):
     return P.overlaps(ring(rooms(spark, sf_dir)))
 
 
-@query(f"WITH {ROOMS}, {TRAJECTORY}, pt AS (SELECT cap % 50 AS cap, event_id, u * 10 AS u, v FROM traj WHERE event_id % 5 = 0) SELECT pt.cap, event_id, room FROM pt JOIN rooms USING (cap) WHERE u >= x0 AND u <= x0 + w AND v >= y0 AND v <= y0 + h")
+@query(f"WITH {ROOMS}, {TRAJECTORY}, pt AS (SELECT cap // 4 AS cap, event_id, u * 10 AS u, v FROM traj) SELECT pt.cap, event_id, room FROM pt JOIN rooms USING (cap) WHERE u >= x0 AND u <= x0 + w AND v >= y0 AND v <= y0 + h")
 def points_in_rooms(spark, sf_dir):
-    p = trajectory(spark, sf_dir).where("event_id % 5 = 0").select((F.col("cap") % 50).alias("cap"), "event_id", (F.col("u") * 10).alias("u"), "v")
+    p = trajectory(spark, sf_dir).select(F.floor(F.col("cap") / 4).alias("cap"), "event_id", (F.col("u") * 10).alias("u"), "v")
     return P.contains(ring(rooms(spark, sf_dir)), p).select("cap", "event_id", "room")
 
 
@@ -141,8 +146,8 @@ def ci95(spark, sf_dir):
 
 
 PRIOR = PLAN + """, p AS (SELECT cap, room, perimeter, area, height, CASE WHEN cap % 2 = 0 THEN 0.18 ELSE 0.12 END AS rel FROM proom)
-SELECT cap, room, round(greatest(0.2, rel * perimeter) + 1e-9, 6) AS perimeter_sigma, round(greatest(0.2, 2 * rel * area) + 1e-9, 6) AS area_sigma,
-  CASE WHEN height IS NOT NULL THEN round(greatest(0.15, rel * height) + 1e-9, 6) END AS height_sigma FROM p"""
+SELECT cap, room, round(rel * perimeter + 1e-9, 6) AS perimeter_sigma, round(2 * rel * area + 1e-9, 6) AS area_sigma,
+  CASE WHEN height IS NOT NULL THEN round(greatest(0.2, rel * height) + 1e-9, 6) END AS height_sigma FROM p"""
 
 
 @query(PRIOR)
@@ -152,6 +157,23 @@ def prior_sigma(spark, sf_dir):
     return r.select("cap", "room", G.prior_sigma(F.col("perimeter"), F.col("tier"), "perimeter").alias("perimeter_sigma"), G.prior_sigma(F.col("area"), F.col("tier"), "area").alias("area_sigma"), h.alias("height_sigma")).select("cap", "room", *_r("perimeter_sigma", "area_sigma", "height_sigma"))
 
 
+@query(PLAN + """ SELECT cap, room, i, round(greatest(0.12, CASE WHEN cap % 2 = 0 THEN 0.18 ELSE 0.12 END * length) + 1e-9, 6) AS envelope, round(greatest(0.15, 0.12 * length) + 1e-9, 6) AS segmented FROM walls""")
+def prior_wall_sigma(spark, sf_dir):
+    w = plan_tables(spark, sf_dir)[1]
+    tier = F.when(F.col("cap") % 2 == 0, "photos").otherwise("video")
+    return w.select("cap", "room", "i", G.prior_sigma(F.col("length"), tier, "length").alias("envelope"), G.prior_sigma(F.col("length"), F.lit("video"), "length", "segmented").alias("segmented")).select("cap", "room", "i", *_r("envelope", "segmented"))
+
+
+@query(PLAN + """ SELECT cap, room, opening, kind, round(offset_sigma + 1e-9, 6) AS offset_sigma, round(width_sigma + 1e-9, 6) AS width_sigma, round(height_sigma + 1e-9, 6) AS height_sigma, bottom_sigma FROM opens""")
+def opening_sigma(spark, sf_dir):
+    return plan_tables(spark, sf_dir)[3].select("cap", "room", "opening", "kind", *_r("offset_sigma", "width_sigma", "height_sigma"), "bottom_sigma")
+
+
+@query(PLAN + " SELECT cap, room, round(height_sigma + 1e-9, 6) AS height_sigma FROM proom")
+def ceiling_sigma(spark, sf_dir):
+    return plan_tables(spark, sf_dir)[2].select("cap", "room", *_r("height_sigma"))
+
+
 SURFACES = PLAN + """ SELECT w.cap, 'room-' || w.room || '/wall-' || i AS surface_id, 'wall' AS kind, round(length * height + 1e-9, 6) AS value,
   round(sqrt((length_sigma * height) ** 2 + (height_sigma * length) ** 2) + 1e-9, 6) AS sigma FROM walls w JOIN proom USING (cap, room)
 UNION ALL SELECT cap, 'room-' || room || '/floor', 'floor', round(area + 1e-9, 6), round(area_sigma + 1e-9, 6) FROM proom
@@ -209,7 +231,7 @@ errs AS (SELECT cap, room, 'area' AS rule, NULL::INTEGER AS item FROM metrics WH
   UNION ALL SELECT cap, room, 'wall_length', i FROM cw WHERE abs(sqrt((eu - su) ** 2 + (ev - sv) ** 2) - length) > 0.002
   UNION ALL SELECT cap, room, 'wall_ends', i FROM cw WHERE sqrt((eu - nu) ** 2 + (ev - nv) ** 2) > 0.002
   UNION ALL SELECT o.cap, o.room, 'opening_range', opening FROM opens o JOIN cw ON cw.cap = o.cap AND cw.room = o.room AND cw.i = o.wall WHERE o."offset" + o.width > cw.length + 0.025
-  UNION ALL SELECT cap, room, 'opening_target', opening FROM opens WHERE connects_to IS NOT NULL AND connects_to NOT IN (SELECT room FROM rooms))"""
+  UNION ALL SELECT cap, room, 'opening_target', opening FROM opens o WHERE connects_to IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rooms r WHERE r.cap = o.cap AND r.room = o.connects_to))"""
 
 
 def _checked(spark, sf_dir):

@@ -56,15 +56,15 @@ TRAJECTORY = """traj AS (SELECT user_id AS cap, row_number() OVER (PARTITION BY
 
 
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangular rooms from orders: fifty captures of forty rooms."""
+    """Rectangular rooms from orders: a capture for every forty keys."""
     k = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where("o_orderkey < 2000").select(
-        (k % 50).alias("cap"), k.alias("room"), (k % 17).cast("double").alias("x0"), (k % 13).cast("double").alias("y0"), (1 + k % 5).cast("double").alias("w"), (1 + k % 7).cast("double").alias("h")
+    return read(spark, sf_dir, "orders").select(
+        F.floor(k / 40).alias("cap"), k.alias("room"), (k % 17).cast("double").alias("x0"), (k % 13).cast("double").alias("y0"), (1 + k % 5).cast("double").alias("w"), (1 + k % 7).cast("double").alias("h")
     )
 
 
-ROOMS = """rooms AS (SELECT o_orderkey % 50 AS cap, o_orderkey AS room, (o_orderkey % 17)::DOUBLE AS x0, (o_orderkey % 13)::DOUBLE AS y0,
-  (1 + o_orderkey % 5)::DOUBLE AS w, (1 + o_orderkey % 7)::DOUBLE AS h FROM orders WHERE o_orderkey < 2000)"""
+ROOMS = """rooms AS (SELECT o_orderkey // 40 AS cap, o_orderkey AS room, (o_orderkey % 17)::DOUBLE AS x0, (o_orderkey % 13)::DOUBLE AS y0,
+  (1 + o_orderkey % 5)::DOUBLE AS w, (1 + o_orderkey % 7)::DOUBLE AS h FROM orders)"""
 
 
 def ring(rooms_df: DataFrame) -> DataFrame:

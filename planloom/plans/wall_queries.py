@@ -32,7 +32,7 @@ def wall_band_join(spark, sf_dir):
     return band(spark, sf_dir).groupBy("cap", "wall").agg(F.count("*").alias("n"), F.round(F.sum("along") + 1e-9, 4).alias("along"), F.round(F.sum("across") + 1e-9, 4).alias("across"))
 
 
-SNAP = WALLS + """, sb AS (SELECT cap, wall, coord, inward, floor((across - (coord - 0.35)) / 0.05)::BIGINT AS bin, count(*) AS n FROM band GROUP BY ALL),
+SNAP = WALLS + """, sb AS (SELECT cap, wall, coord, inward, floor((across - (coord - 0.35)) / 0.05)::BIGINT AS bin, count(*) AS n FROM band SEMI JOIN (SELECT cap, wall FROM band GROUP BY ALL HAVING count(*) >= 50) able USING (cap, wall) GROUP BY ALL),
 sm AS (SELECT cap, wall, coord, inward, bin + d AS bin, sum(n * w) AS strength FROM sb, (VALUES (-1, 1), (0, 2), (1, 1)) AS k(d, w) WHERE bin + d BETWEEN 0 AND 13 GROUP BY ALL),
 dense AS (SELECT *, coord - 0.35 + (bin + 0.5) * 0.05 AS centre FROM sm s WHERE strength >= 0.4 * (SELECT max(strength) FROM sm m WHERE m.cap = s.cap AND m.wall = s.wall)),
 ranked AS (SELECT cap, wall, bin, centre, strength, row_number() OVER (PARTITION BY cap, wall ORDER BY centre * inward) AS ord FROM dense)"""
@@ -121,16 +121,16 @@ def seen_beyond(spark, sf_dir):
     return walls.seen_beyond(w, free, 1.0, 0.5, 30)
 
 
-KNN = """WITH d AS (SELECT vec_id, vec_id % 2 AS side, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-n AS (SELECT q.vec_id AS q_id, t.vec_id AS t_id, sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c)) AS distance FROM d q JOIN d t ON q.side = 0 AND t.side = 1),
+KNN = """WITH d AS (SELECT vec_id, vec_id // 100 AS pair, vec_id % 2 AS side, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
+n AS (SELECT q.pair, q.vec_id AS q_id, t.vec_id AS t_id, sqrt((q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c)) AS distance FROM d q JOIN d t ON q.pair = t.pair AND q.side = 0 AND t.side = 1),
 k AS (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS second FROM n WINDOW w AS (PARTITION BY q_id ORDER BY distance, t_id))
-SELECT 0 AS pair, q_id, t_id, round(distance, 6) AS distance FROM k WHERE k = 1 AND distance < 0.78 * second"""
+SELECT pair, q_id, t_id, round(distance, 6) AS distance FROM k WHERE k = 1 AND distance < 0.78 * second"""
 
 
 @query(KNN)
 def knn_ratio_match(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    d = e.select(F.lit(0).alias("pair"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("descriptor"))
+    d = e.select(F.floor(F.col("vec_id") / 100).alias("pair"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("descriptor"))
     m = match.knn_ratio_match(d.where("id % 2 = 0"), d.where("id % 2 = 1"))
     return m.select("pair", "q_id", "t_id", F.round("distance", 6).alias("distance"))
 
@@ -143,28 +143,28 @@ def accepted_edges(spark, sf_dir):
     return match.accepted_edges(e).select("id")
 
 
-@query("""WITH v AS (SELECT c_custkey % 20 AS cap, c_custkey AS view, CASE WHEN c_custkey % 20 < 10 THEN 'photos' ELSE 'video' END AS tier FROM customer WHERE c_custkey < 800), n AS (SELECT cap, count(*) AS n FROM v GROUP BY cap)
-SELECT a.cap, a.view AS i, b.view AS j, (a.tier = 'photos' AND n <= 32) OR b.view - a.view <= 40 AS learned FROM v a JOIN v b ON a.cap = b.cap AND a.view < b.view JOIN n ON n.cap = a.cap""")
+@query("""WITH v AS (SELECT c_custkey // 40 AS cap, c_custkey AS view, CASE WHEN c_custkey // 40 % 2 = 0 THEN 'photos' ELSE 'video' END AS tier FROM customer ), n AS (SELECT cap, count(*) AS n FROM v GROUP BY cap)
+SELECT a.cap, a.view AS i, b.view AS j, (a.tier = 'photos' AND n <= 32) OR b.view - a.view <= 3 AS learned FROM v a JOIN v b ON a.cap = b.cap AND a.view < b.view JOIN n ON n.cap = a.cap""")
 def view_pairs(spark, sf_dir):
     k = F.col("c_custkey")
-    v = read(spark, sf_dir, "customer").where("c_custkey < 800").select((k % 20).alias("cap"), k.alias("view"), F.when(k % 20 < 10, "photos").otherwise("video").alias("tier"))
-    return match.view_pairs(v, gap=40)
+    v = read(spark, sf_dir, "customer").select(F.floor(k / 40).alias("cap"), k.alias("view"), F.when(F.floor(k / 40) % 2 == 0, "photos").otherwise("video").alias("tier"))
+    return match.view_pairs(v)
 
 
-DAMAGE = f"""{ROOMS}, rw AS (SELECT cap, room, 0 AS wall, x0 AS su, y0 AS sv, x0 + w AS eu, y0 AS ev, w AS length FROM rooms WHERE cap < 8 UNION ALL SELECT cap, room, 1, x0 + w, y0, x0 + w, y0 + h, h FROM rooms WHERE cap < 8),
-px AS (SELECT cap, (l % 40) AS region, u, v, h FROM (SELECT l_suppkey % 8 AS cap, l_orderkey AS l, l_quantity / 5 AS u, l_tax * 50 + l_discount * 10 + 0.0 AS v, l_extendedprice / 40000 AS h FROM lineitem)),
+DAMAGE = f"""{ROOMS}, rw AS (SELECT cap, room, 0 AS wall, x0 AS su, y0 AS sv, x0 + w AS eu, y0 AS ev, w AS length FROM rooms UNION ALL SELECT cap, room, 1, x0 + w, y0, x0 + w, y0 + h, h FROM rooms),
+px AS (SELECT cap, (l % 2) AS region, u, v, h FROM (SELECT l_orderkey // 40 AS cap, l_orderkey AS l, l_quantity / 5 AS u, l_tax * 50 + l_discount * 10 + 0.0 AS v, l_extendedprice / 40000 AS h FROM lineitem)),
 hit AS (SELECT px.cap, region, room, wall, count(*) AS n FROM px JOIN rw ON rw.cap = px.cap WHERE h > 0
-  AND abs((v - sv) * (eu - su) / length - (u - su) * (ev - sv) / length) < 0.15 AND (u - su) * (eu - su) / length + (v - sv) * (ev - sv) / length > 0 AND (u - su) * (eu - su) / length + (v - sv) * (ev - sv) / length < length GROUP BY ALL HAVING count(*) >= 12),
+  AND abs((v - sv) * (eu - su) / length - (u - su) * (ev - sv) / length) < 1.5 AND (u - su) * (eu - su) / length + (v - sv) * (ev - sv) / length > 0 AND (u - su) * (eu - su) / length + (v - sv) * (ev - sv) / length < length GROUP BY ALL HAVING count(*) >= 12),
 best AS (SELECT *, row_number() OVER (PARTITION BY cap, region ORDER BY n DESC, room, wall) AS k FROM hit)"""
 
 
 @query(f"WITH {DAMAGE} SELECT cap, region, room, wall, n FROM best WHERE k = 1")
 def damage_region_topwall(spark, sf_dir):
-    p = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("cap"), (F.col("l_orderkey") % 40).alias("region"), (F.col("l_quantity") / 5).alias("u"), (F.col("l_tax") * 50 + F.col("l_discount") * 10 + 0.0).alias("v"), (F.col("l_extendedprice") / 40000).alias("h"))
-    r = rooms(spark, sf_dir).where("cap < 8")
+    p = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("cap"), (F.col("l_orderkey") % 2).alias("region"), (F.col("l_quantity") / 5).alias("u"), (F.col("l_tax") * 50 + F.col("l_discount") * 10 + 0.0).alias("v"), (F.col("l_extendedprice") / 40000).alias("h"))
+    r = rooms(spark, sf_dir)
     a = r.select("cap", "room", F.lit(0).alias("wall"), F.col("x0").alias("su"), F.col("y0").alias("sv"), (F.col("x0") + F.col("w")).alias("eu"), F.col("y0").alias("ev"), F.col("w").alias("length"))
     b = r.select("cap", "room", F.lit(1).alias("wall"), (F.col("x0") + F.col("w")).alias("su"), F.col("y0").alias("sv"), (F.col("x0") + F.col("w")).alias("eu"), (F.col("y0") + F.col("h")).alias("ev"), F.col("h").alias("length"))
-    return match.wall_of_region(p, a.unionByName(b), 0.15)
+    return match.wall_of_region(p, a.unionByName(b), 1.5)
 
 
 @query("""WITH r AS (SELECT p_partkey % 10 AS cap, 'room-' || (p_partkey % 7) || '/wall-' || (p_partkey % 4) AS surface_id, CASE WHEN p_partkey % 3 = 0 THEN 'crack' ELSE 'water_stain' END AS class, p_size / 50 AS score, 'evidence/' || (p_partkey % 23) || '.jpg' AS evidence FROM part),

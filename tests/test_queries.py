@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["floor_layer", "voxel_downsample", "manhattan_angle", "overlap_area", "opening_gate", "geometry_checks", "interp_asof", "closed_bins", "wall_coverage", "knn_ratio_match", "edt", "damage_groups"]
+SAMPLE = sorted(entry.oracle_sql())
 
 
 def plain(x):

@@ -53,9 +53,15 @@ def test_overlap_goes_to_the_owner(spark):
 
 
 def test_collapse_keeps_the_better_wall():
-    walls = [(0, 0.0, True, 90), (1, 4.0, True, 90), (0, 1.0, True, 90), (1, 3.99, False, 5), (0, 3.0, True, 50), (1, 0.0, True, 90)]
-    got = rooms.collapsed(walls)
-    assert len(got) == 4 and 4.0 in [w[1] for w in got]
+    made = [(0, 0.0, True, 90), (1, 4.0, True, 90), (0, 1.0, True, 90), (1, 3.99, False, 5), (0, 3.0, True, 50), (1, 0.0, True, 90)]
+    got = rooms.collapsed([rooms.Wall(a, c, rank=(s, n)) for a, c, s, n in made])
+    assert len(got) == 4 and 4.0 in [w.coord for w in got]
+
+
+def test_short_walls_leave_and_neighbours_meet_at_their_weighted_mean():
+    ring = np.array([(0, 0), (4, 0), (4, 1), (4.1, 1), (4.1, 3), (0, 3)], float)
+    got = rooms.rectilinear(ring)
+    assert [(w.axis, round(w.coord, 6)) for w in got] == [(0, 0.0), (1, round((4 * 1 + 4.1 * 2) / 3, 6)), (0, 3.0), (1, 0.0)]
 
 
 def test_seen_cells(spark):

@@ -11,6 +11,29 @@ from planloom.operators import plan as P
 ROOM = P.ROOM
 
 
+def self_crossing(ring: DataFrame) -> DataFrame:
+    """(cap, room): rings in which two walls that are no neighbours meet. Only walls of one room are compared."""
+    e = P.edges(ring).select(*ROOM, "i", "u", "v", "nu", "nv")
+    last = e.groupBy(*ROOM).agg(F.max("i").alias("_last"))
+    named = lambda n, start, stop: e.select(*ROOM, F.col("i").alias(n), *[F.col(f"{c}{a}").alias(f"{p}{a}") for p, c in ((start, ""), (stop, "n")) for a in "uv"])
+    j = named("_i", "p", "q").join(named("_j", "r", "s"), [*ROOM]).where("_j > _i + 1").join(last, [*ROOM]).where("not (_i = 0 and _j = _last)")
+    side = lambda p, q, r: (F.col(f"{q}u") - F.col(f"{p}u")) * (F.col(f"{r}v") - F.col(f"{p}v")) - (F.col(f"{q}v") - F.col(f"{p}v")) * (F.col(f"{r}u") - F.col(f"{p}u"))
+    apart = side("p", "q", "r") * side("p", "q", "s") > 0
+    beside = side("r", "s", "p") * side("r", "s", "q") > 0
+    boxes = F.lit(True)
+    for c in "uv":
+        boxes = boxes & (F.greatest(f"p{c}", f"q{c}") >= F.least(f"r{c}", f"s{c}")) & (F.greatest(f"r{c}", f"s{c}") >= F.least(f"p{c}", f"q{c}"))
+    return j.where(~apart & ~beside & boxes).select(*ROOM).distinct()
+
+
+def bad_intervals(measured: DataFrame) -> DataFrame:
+    """Measurements (cap, dimension, value, sigma, low, high) that are not finite numbers in order."""
+    finite = F.lit(True)
+    for c in ("value", "sigma", "low", "high"):
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    return measured.where(~(finite & (F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high"))))
+
+
 def geometry_errors(ring: DataFrame, rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
     """(cap, room, rule, item): one row for each broken rule.
 
@@ -18,7 +41,7 @@ def geometry_errors(ring: DataFrame, rooms: DataFrame, walls: DataFrame, opening
     with an invalid polygon is reported once and not checked further.
     """
     m = P.ring_metrics(ring)
-    bad = m.where("area <= 0").select(*ROOM)
+    bad = m.where("area <= 0").select(*ROOM).unionByName(self_crossing(ring)).distinct()
     twice = rooms.groupBy(*ROOM).count().where("count > 1").select(*ROOM, F.lit("duplicate_room").alias("rule"), F.lit(None).cast("int").alias("item"))
     invalid = bad.select(*ROOM, F.lit("invalid_polygon").alias("rule"), F.lit(None).cast("int").alias("item"))
     sound = rooms.join(bad, [*ROOM], "left_anti")

@@ -52,6 +52,12 @@ def split_residuals(residuals: DataFrame, by: tuple[str, ...], order: str, least
     return agg.select(*by, F.when(ok, F.col("m")).otherwise(0.0).alias("offset"), F.when(ok, F.least(F.lit(1.0), F.col("n_train") / 200)).otherwise(0.0).alias("weight"), "n_train", "n_test")
 
 
+def held_out(residuals: DataFrame, by: tuple[str, ...], order: str) -> DataFrame:
+    """The residuals that split_residuals leaves out."""
+    k = F.row_number().over(Window.partitionBy(*by).orderBy(order)) % 2
+    return residuals.withColumn("_k", k).where("_k = 0").drop("_k")
+
+
 def interpolate(frames: DataFrame, samples: DataFrame, key: str = KEY) -> DataFrame:
     """Value of each frame by linear interpolation between sampled frames; held constant beyond the first and last."""
     j = frames.join(samples.select(key, "seq", "value"), [key, "seq"], "left").withColumn("at", F.when(F.col("value").isNotNull(), F.struct("seq", "value")))

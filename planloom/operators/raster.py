@@ -50,11 +50,17 @@ def lookup(points: DataFrame, labels: DataFrame, column: str = "label") -> DataF
     return points.join(labels.select(*CELL, column), [*CELL], "left").fillna(0, [column])
 
 
-def swept_share(strips: DataFrame, others: DataFrame, res: float, by: tuple[str, ...]) -> DataFrame:
-    """(*by, share): share of the cells of each strip (cap, u0, u1, v0, v1) that belong to `others`; an empty strip has 0."""
+def swept_share(strips: DataFrame, others: DataFrame, res: float, by: tuple[str, ...], own: str | None = None) -> DataFrame:
+    """(cap, *by, share): share of the cells of each strip (cap, u0, u1, v0, v1) that belong to `others`; an empty strip has 0.
+
+    With `own`, a column of the strips, cells whose label is that number are not counted as another's.
+    """
+    by = ("cap", *[b for b in by if b != "cap"])
     u = F.expr(f"sequence(cast(floor(u0 / {res}) as int), cast(greatest(ceil(u1 / {res}) - 1, floor(u0 / {res})) as int))")
     v = F.expr(f"sequence(cast(floor(v0 / {res}) as int), cast(greatest(ceil(v1 / {res}) - 1, floor(v0 / {res})) as int))")
-    cells = strips.where("u1 > u0 and v1 > v0").select(*by, "cap", F.explode(u).alias("c"), "v0", "v1").select(*by, "cap", "c", F.explode(v).alias("r"))
-    hit = cells.join(others.select(*CELL, F.lit(1.0).alias("own")).distinct(), [*CELL], "left")
-    share = hit.groupBy(*by).agg(F.avg(F.coalesce("own", F.lit(0.0))).alias("share"))
+    cells = strips.where("u1 > u0 and v1 > v0").select(*by, F.explode(u).alias("c"), "v0", "v1").select(*by, "c", F.explode(v).alias("r"))
+    label = F.col("label") if own else F.lit(1)
+    hit = cells.join(others.select(*CELL, label.alias("_label")).distinct(), [*CELL], "left")
+    theirs = F.col("_label").isNotNull() if own is None else F.coalesce(F.col("_label") != F.col(own), F.lit(False))
+    share = hit.groupBy(*by).agg(F.avg(theirs.cast("double")).alias("share"))
     return strips.select(*by).join(share, [*by], "left").fillna(0.0, ["share"])

@@ -11,11 +11,11 @@ from planloom.operators.path import close_gaps, runs
 WALL = ("cap", "wall")
 
 
-def band_join(points: DataFrame, walls: DataFrame, reach: float, margin: float, bucket: float | None = None) -> DataFrame:
+def band_join(points: DataFrame, walls: DataFrame, reach: float, margin: float, bucket: float | None = None, by: tuple[str, ...] = ("cap",)) -> DataFrame:
     """Points within `reach` of a wall's line and inside its ends plus `margin`, with `along` and `across` coordinates.
 
     `walls` has (cap, wall, axis, coord, lo, hi). Points are matched on buckets of the across coordinate, so that
-    no pair of far rows is formed.
+    no pair of far rows is formed; `by` names what else must agree.
     """
     size = bucket or 2 * reach
     near = F.explode(F.sequence(F.floor((F.col("coord") - reach) / size), F.floor((F.col("coord") + reach) / size)))
@@ -23,7 +23,7 @@ def band_join(points: DataFrame, walls: DataFrame, reach: float, margin: float,
     both = None
     for axis, (along, across) in enumerate((("u", "v"), ("v", "u"))):
         p = points.withColumns({"along": F.col(along), "across": F.col(across), "_b": F.floor(F.col(across) / size)}).drop("u", "v")
-        j = p.join(w.where(F.col("axis") == axis), ["cap", "_b"])
+        j = p.join(w.where(F.col("axis") == axis), [*by, "_b"])
         both = j if both is None else both.unionByName(j)
     return both.where((F.abs(F.col("across") - F.col("coord")) < reach) & (F.col("along") > F.col("lo") + margin) & (F.col("along") < F.col("hi") - margin)).drop("_b")
 

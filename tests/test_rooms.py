@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from planloom.operators import cloud, path, plan, register, rooms
+from planloom.operators import cloud, layout, path, plan, register, rooms
 
 RES = 0.04
 
@@ -35,8 +35,9 @@ def test_two_rooms_and_their_outlines(spark):
     ring = rooms.outlines(lab, RES)
     m = plan.ring_metrics(ring).collect()
     assert len(m) == 2 and all(r.corners == 4 and abs(r.area - 12.0) < 0.5 and r.signed_area > 0 for r in m)
-    cells = rooms.resolve_overlaps(ring, lab, RES)
-    assert cells.groupBy("cap", "r", "c").count().where("count > 1").count() == 0
+    fitted = ring.selectExpr("*", "0.0d as support", "0.0d as spread", "0L as n_points", "false as snapped")
+    apart, cuts = layout.resolve_overlaps(fitted, lab, RES)
+    assert plan.overlaps(apart).count() == 0 and cuts.first().cuts == 0
 
 
 def test_without_wall_faces_regions_merge(spark):
@@ -45,11 +46,36 @@ def test_without_wall_faces_regions_merge(spark):
     assert [r.label for r in lab.select("label").distinct().collect()] == [1]
 
 
-def test_overlap_goes_to_the_owner(spark):
-    ring = spark.createDataFrame([("a", r, i, x + u, v) for r, x in ((1, 0.0), (2, 0.8)) for i, (u, v) in enumerate(((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)))], "cap string, room int, i int, u double, v double")
+def squares(spark, *corners):
+    """Rooms (u0, v0, u1, v1) as rings with statistics."""
+    rows = []
+    for k, (a, b, c, d) in enumerate(corners, 1):
+        for i, (u, v, axis, coord) in enumerate(((a, b, 0, b), (c, b, 1, c), (c, d, 0, d), (a, d, 1, a))):
+            rows.append(("a", k, i, axis, float(coord), float(u), float(v), 0.5, 0.01, 10 * k + i, True))
+    return spark.createDataFrame(rows, "cap string, room int, i int, axis int, coord double, u double, v double, support double, spread double, n_points long, snapped boolean")
+
+
+def test_overlap_goes_to_the_owner_and_walls_keep_their_statistics(spark):
     lab = spark.createDataFrame([("a", r, c, 2) for r in range(10) for c in range(8, 18)], "cap string, r int, c int, label int")
-    got = {r.room: r.n for r in rooms.resolve_overlaps(ring, lab, 0.1).groupBy("room").agg(F.count("*").alias("n")).collect()}
-    assert got == {1: 80, 2: 100}
+    apart, cuts = layout.resolve_overlaps(squares(spark, (0, 0, 1, 1), (0.8, 0, 1.8, 1)), lab, 0.1)
+    area = {r.room: round(r.area, 6) for r in plan.ring_metrics(apart).collect()}
+    assert area == {1: 0.8, 2: 1.0} and cuts.first().cuts == 1
+    new = {(r.axis, round(r.coord, 6)): (r.n_points, r.snapped) for r in apart.where("room = 1").collect()}
+    assert new == {(0, 0.0): (10, True), (0, 1.0): (12, True), (1, 0.0): (13, True), (1, 0.8): (0, False)}
+
+
+def test_a_cut_that_leaves_too_little_is_not_made(spark):
+    lab = spark.createDataFrame([("a", r, c, 1) for r in range(30) for c in range(30)], "cap string, r int, c int, label int")
+    apart, cuts = layout.resolve_overlaps(squares(spark, (0, 0, 3, 3), (1, 1, 2, 2), (2.5, 0, 4, 1)), lab, 0.1)
+    area = {r.room: round(r.area, 6) for r in plan.ring_metrics(apart).collect()}
+    assert area == {1: 9.0, 2: 1.0, 3: 1.0} and cuts.first().cuts == 1
+
+
+def test_the_largest_piece_of_a_cut_stays(spark):
+    lab = spark.createDataFrame([("a", r, c, 2) for r in range(40) for c in range(10, 15)], "cap string, r int, c int, label int")
+    apart, _ = layout.resolve_overlaps(squares(spark, (0, 0, 4, 1), (1, -1, 1.5, 3)), lab, 0.1)
+    ring = sorted((round(r.u, 6), round(r.v, 6)) for r in apart.where("room = 1").collect())
+    assert ring == [(1.5, 0.0), (1.5, 1.0), (4.0, 0.0), (4.0, 1.0)]
 
 
 def test_collapse_keeps_the_better_wall():

@@ -8,30 +8,45 @@ from pyspark.sql import functions as F
 from planloom.storage import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+HOT_ROWS = 50_000
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with one row of facts a key; `count` of facts says how many of the rows have the key.
+
+    Keys with hot_rows rows or more are broadcast, so that none of them gathers in one task: there is at most one such
+    key for every hot_rows rows. All others are joined by shuffle.
+    """
+    hot = F.broadcast(facts.where(F.col(count) >= hot_rows))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(facts.where(F.col(count) < hot_rows), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return joined(both, lowest, ["u"], hot_rows=hot_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = joined(down, lowest, ["u"], hot_rows=hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(u, v)`` -> ``(u, root)``: the smallest vertex reachable, for every vertex that has an edge to another.
 
-    Minima are partial aggregates joined back, so a vertex with very many edges never gathers in one task.
+    Minima are partial aggregates; those of vertices with `hot_rows` edges or more are broadcast back, so such a vertex never
+    gathers in one task.
     Each round is checkpointed in the shared folder. Edges with a null end and loops are ignored. Raises if
     `max_rounds` do not suffice (the number needed grows with the logarithm of the longest path).
     """
     now = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        now = cut(_small_star(_large_star(now, hot_rows).distinct(), hot_rows).distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen or not sign[0]:
             roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder, from spark.checkpoint.dir; a temporary one is set only where none is named (tests)."""
+    """URI of the shared folder, from spark.checkpoint.dir. Where none is named, a temporary one serves a local master; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="planloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")

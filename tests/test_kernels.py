@@ -88,3 +88,13 @@ def test_peaks():
 
 def test_forest():
     assert K.spanning_forest(5, [(0, 1, 5.0), (1, 2, 3.0), (0, 2, 4.0), (3, 4, 1.0)]) == [(0, 0, 1), (0, 0, 2), (3, 3, 4)]
+
+
+def test_hot_vertices_are_joined_apart(spark):
+    from planloom.operators import graph
+
+    star = [(0, k) for k in range(1, 60)] + [(100, 101), (101, 102), (59, 60)]
+    edges = spark.createDataFrame(star, "u long, v long")
+    want = sorted([(k, 0) for k in range(61)] + [(k, 100) for k in (100, 101, 102)])
+    for hot_rows in (5, 1000):
+        assert sorted((r.u, r.root) for r in graph.connected_components(edges, hot_rows=hot_rows).collect()) == want

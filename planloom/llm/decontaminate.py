@@ -185,6 +185,36 @@ class Patterns:
         return [(item, c, a) for item, (c, a) in sorted(found.items())]
 
 
+def _scan(sent: list, batches, text_col: str, hold_bytes: int, seek):
+    """(batch, what `seek` says of each text for each chunk) of all batches, with one chunk of the benchmark in memory at a time.
+
+    With several chunks, batches are held up to hold_bytes of text, so that a chunk is loaded once for many texts.
+    """
+    held, size = [], 0
+
+    def answer():
+        texts = [[normal(x) for x in bodies(b, text_col)] for b in held]
+        found = [[[] for _ in rows] for rows in texts]
+        for chunk in sent:
+            patterns = chunk.value
+            for rows, outs in zip(texts, found):
+                for t, out in zip(rows, outs):
+                    out += seek(patterns, t)
+            if len(sent) > 1:
+                del patterns
+                chunk.__dict__.pop("_value", None)  # the worker's copy; the next use reads it again
+        return zip(held, found)
+
+    for b in batches:
+        held.append(b)
+        size += b.column(text_col).nbytes
+        if len(sent) == 1 or size >= hold_bytes:
+            yield from answer()
+            held, size = [], 0
+    if held:
+        yield from answer()
+
+
 def _sent(docs: DataFrame, benchmark: DataFrame, q: int, rate: float, span: int, least: int, chunk_bytes: int) -> list:
     """The benchmark's patterns as broadcasts of about chunk_bytes of text each, as many as it needs."""
     chunks, now, size = [], [], 0
@@ -198,19 +228,18 @@ def _sent(docs: DataFrame, benchmark: DataFrame, q: int, rate: float, span: int,
     return [docs.sparkSession.sparkContext.broadcast(Patterns.of(c, q, rate, span, least, EXCERPT)) for c in [*chunks, now]]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 2_000_000, hold_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_items, items array, least_edits) of each document: the benchmark items of which it holds a pattern.
 
     Items are benchmark rows (item_id, text). An item whose normal text is shorter than `least` bytes is
     found as a whole only; a null or empty one takes no part, nor does one without id. Null and empty documents hold no item (n_items 0, least_edits null).
-    Items are sent to the workers in chunks; a document's finds in all chunks are put together. Repeated rows are
+    Items are sent to the workers in chunks of chunk_bytes of text, of which a worker holds one at a time; a document's finds in all chunks are put together. Repeated rows are
     treated alike; other columns are not read; empty tables give empty results.
     """
     sent = _sent(docs, benchmark, q, rate, span, least, chunk_bytes)
 
     def run(batches):
-        for b in batches:
-            found = [[x for s in sent for x in s.value.find(t)] for t in map(normal, bodies(b, text_col))]
+        for b, found in _scan(sent, batches, text_col, hold_bytes, Patterns.find):
             items = [sorted({x[0] for x in f}) for f in found]
             cols = [pa.array([len(i) for i in items], pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([min((x[1] for x in f), default=None) for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(id_col), *cols], [id_col, "n_items", "items", "least_edits"])
@@ -218,12 +247,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06
     return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, n_items long, items array<long>, least_edits long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 4_000_000, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark passage, all columns as they are."""
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.06, span: int = 96, least: int = 40, chunk_bytes: int = 2_000_000, hold_bytes: int = 64_000_000, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that hold no benchmark passage, all columns as they are.
+
+    Null and empty texts hold none and stay, repeated rows are treated alike, null ids do not matter; without benchmark rows
+    all rows stay, an empty table stays empty.
+    """
     sent = _sent(docs, benchmark, q, rate, span, least, chunk_bytes)
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array([not any(s.value.find(t) for s in sent) for t in map(normal, bodies(b, text_col))], pa.bool_()))
+        for b, found in _scan(sent, batches, text_col, hold_bytes, Patterns.find):
+            yield b.filter(pa.array([not f for f in found], pa.bool_()))
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

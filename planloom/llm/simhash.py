@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, words_of
-from planloom.operators.graph import connected_components
+from planloom.operators.graph import connected_components, joined
 from planloom.storage import cut, written
 
 BITS = 64
@@ -171,7 +171,7 @@ def hamming_links(fps: DataFrame, tau: int = 2, bucket_limit: int = 8) -> DataFr
     masks = plan(*bit_statistics(fps), tau)
     rows = _keyed(fps, masks)
     sizes = rows.groupBy("f", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(rows.join(sizes, ["f", "key"]))
+    rows = cut(joined(rows, sizes, ["f", "key"]))
     lists = rows.where(F.col("n") <= bucket_limit).groupBy("f", "key").agg(F.collect_list("fp").alias("fps"))
     pairs = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: (b < a) & (F.bit_count(a.bitwiseXOR(b)) <= tau)), lambda b: F.struct(a.alias("u"), b.alias("v")))))
     small = lists.select(F.explode(pairs).alias("e")).select("e.u", "e.v")
@@ -201,9 +201,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, tau: int = 2, bu
     return fps.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def node_of(body: bytes) -> int:
-    """Hash of the word sequence."""
-    return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body))))
+def node_of(body: bytes) -> bytes:
+    """128-bit hash of the word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join(words_of(body)))
 
 
 def prefix(body: bytes, shingle_words: int, similarity: float, common: np.ndarray | None = None) -> tuple[int, np.ndarray]:
@@ -227,21 +227,22 @@ def _prefixed(docs: DataFrame, shingle_words: int, similarity: float, id_col: st
         for b in batches:
             texts = bodies(b, text_col)
             made = [prefix(x, shingle_words, similarity) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.binary()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, n int, prefix array<long>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node binary, n int, prefix array<long>")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(text_col, _node): the texts of the documents `rep` of the wanted nodes (node, rep); rows alike in id can bring other texts along."""
     reps = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col))
     if wanted.count() <= broadcast_rows:  # 16 bytes a row; larger sets are joined by shuffle
         reps = F.broadcast(reps)
-    return docs.select(id_col, text_col).join(reps, F.col(id_col).eqNullSafe(F.col("_rep"))).select(text_col, "_node")
+    return docs.join(reps, F.col("_id").eqNullSafe(F.col("_rep"))).select(text_col, "_node")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
+    """(node, shingles): distinct 64-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
 
     def run(batches):
         for b in batches:
@@ -249,10 +250,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col
             for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()):
                 if node == node_of(body):
                     nodes.append(node)
-                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node long, shingles array<int>").dropDuplicates(["node"])
+    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
@@ -277,15 +278,15 @@ def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarit
         def again(batches):
             for b in batches:
                 found = [(node, *prefix(body, shingle_words, similarity, sent.value)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
-        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}"))
-        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node long, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
+        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node binary, rep {nodes.schema['rep'].dataType.simpleString()}"))
+        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node binary, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
         # A prefix without a common shingle is the same in the new order.
         same = nodes.join(redone.select("node"), "node", "left_anti").select("node", "n", "prefix")
         each = same.unionByName(redone).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return cut(each.join(sizes, "key"))
+    return cut(joined(each, sizes, ["key"], "size"))
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
@@ -370,14 +371,15 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: fl
     A null id counts as larger than any other. Of rows alike in id and words one stays. An empty table gives an empty result.
     """
     groups = near_duplicates(docs, shingle_words, similarity, id_col, text_col)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), "node")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.node").alias("_kept"))
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _node long"
+    names, lows = docs.columns, {c.lower() for c in docs.columns}
+    node, kept_id, kept_node = (f"_{k}" + "_" * sum(c.startswith(f"_{k}") for c in lows) for k in ("node", "id", "kept"))
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), "node")).alias("k")).select(F.col("k.id").alias(kept_id), F.col("k.node").alias(kept_node))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{node}` binary"
 
     def run(batches):
         for b in batches:
-            node = [node_of(x) for x in bodies(b, text_col)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], [*names, "_node"])
+            found = [node_of(x) for x in bodies(b, text_col)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*names, node])
 
     marked = arrow_map(docs, run, schema)
-    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept"))).dropDuplicates([id_col, "_node"]).select(*names)
+    return marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node))).dropDuplicates([id_col, node]).select(*names)

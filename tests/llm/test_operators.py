@@ -267,6 +267,9 @@ def test_decontamination_rows(spark, docs, rows, none):
     extra = docs.unionByName(docs.limit(1).selectExpr("1000L as doc_id", f"'lead in {leak.upper()} tail' as text", "lang", "source", "n_chars", "fp", "n_items", "score", "n_dropped"))
     found = {r.doc_id: r.n_items for r in decontaminate.leaks(extra, bench).collect()}
     assert found[1000] == 1 and sum(found[i] for i in range(10, 60)) == 0
+    longer = bench.unionByName(spark.createDataFrame([(k, " ".join(words(random.Random(k), 30).split())) for k in range(10, 16)], "item_id long, text string"))
+    one, many = ({(r.doc_id, tuple(r["items"]), r.least_edits) for r in decontaminate.leaks(extra, longer, chunk_bytes=n, hold_bytes=3000).collect()} for n in (1 << 20, 100))
+    assert one == many and decontaminate.clean(extra, longer, chunk_bytes=100).count() == decontaminate.clean(extra, longer).count()
     kept = decontaminate.clean(extra, bench)
     assert kept.columns == extra.columns and 1000 not in {r.doc_id for r in kept.collect()}
     assert decontaminate.leaks(none, bench).count() == 0

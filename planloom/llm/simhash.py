@@ -201,9 +201,9 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, tau: int = 2, bu
     return fps.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def node_of(body: bytes) -> bytes:
-    """128-bit hash of the word sequence."""
-    return xxhash.xxh3_128_digest(b" ".join(words_of(body)))
+def node_of(body: bytes) -> int:
+    """64-bit hash of the word sequence: among 10^10 different texts about three pairs share one. Wider keys cost sorts and twice the shuffle."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body))))
 
 
 def prefix(body: bytes, shingle_words: int, similarity: float, common: np.ndarray | None = None) -> tuple[int, np.ndarray]:
@@ -227,9 +227,9 @@ def _prefixed(docs: DataFrame, shingle_words: int, similarity: float, id_col: st
         for b in batches:
             texts = bodies(b, text_col)
             made = [prefix(x, shingle_words, similarity) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.binary()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node binary, n int, prefix array<long>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, n int, prefix array<long>")
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -242,7 +242,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, br
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): distinct 64-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
+    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
 
     def run(batches):
         for b in batches:
@@ -250,10 +250,10 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col
             for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()):
                 if node == node_of(body):
                     nodes.append(node)
-                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
 
-    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node binary, shingles array<long>").dropDuplicates(["node"])
+    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node long, shingles array<int>").dropDuplicates(["node"])
 
 
 def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
@@ -278,13 +278,13 @@ def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarit
         def again(batches):
             for b in batches:
                 found = [(node, *prefix(body, shingle_words, similarity, sent.value)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
-        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node binary, rep {nodes.schema['rep'].dataType.simpleString()}"))
-        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node binary, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
+        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}"))
+        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node long, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
         # A prefix without a common shingle is the same in the new order.
         same = nodes.join(redone.select("node"), "node", "left_anti").select("node", "n", "prefix")
-        each = same.unionByName(redone).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+        each = written(same.unionByName(redone), "ordered").select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return cut(joined(each, sizes, ["key"], "size"))
 
@@ -344,8 +344,12 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
     return links
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have at least the given Jaccard similarity."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pairs whose shingle sets have at least the given Jaccard similarity; only the sets they need are shuffled."""
+    pairs = cut(pairs)
+    if pairs.count() <= broadcast_rows:  # at most twice as many nodes of 8 bytes; more are matched by shuffle
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
     common = F.size(F.array_intersect("su", "sv"))
     return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
@@ -365,7 +369,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest id, with all columns of `docs`.
 
     A null id counts as larger than any other. Of rows alike in id and words one stays. An empty table gives an empty result.
@@ -373,13 +377,24 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: fl
     groups = near_duplicates(docs, shingle_words, similarity, id_col, text_col)
     names, lows = docs.columns, {c.lower() for c in docs.columns}
     node, kept_id, kept_node = (f"_{k}" + "_" * sum(c.startswith(f"_{k}") for c in lows) for k in ("node", "id", "kept"))
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), "node")).alias("k")).select(F.col("k.id").alias(kept_id), F.col("k.node").alias(kept_node))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{node}` binary"
+    groups = written(groups.groupBy(id_col, "node", "root").agg(F.count("*").alias("n")).withColumnRenamed(id_col, "id"), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "node")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.node").alias("node"))
+    one, two = groups.alias("one"), first.alias("two")
+    on = F.col("one.id").eqNullSafe(F.col("two.id")) & (F.col("one.node") == F.col("two.node"))
+    gone = written(one.join(two, on, "left_anti").select(F.col("id").alias(kept_id), F.col("node").alias(kept_node)), "gone")
+    twice = one.where("n > 1").join(two, on, "left_semi").select(F.col("id").alias(kept_id), F.col("node").alias(kept_node))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{node}` long"
 
     def run(batches):
         for b in batches:
             found = [node_of(x) for x in bodies(b, text_col)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*names, node])
-
-    marked = arrow_map(docs, run, schema)
-    return marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node))).dropDuplicates([id_col, node]).select(*names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*names, node])
+
+    # The texts are shuffled only where what goes is too much to broadcast (16 bytes a row), or repeated rows stay as one.
+    few = lambda keys: F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    match = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node))
+    left = arrow_map(docs, run, schema).join(few(gone), match, "left_anti")
+    if twice.isEmpty():
+        return left.select(*names)
+    repeated = few(twice)
+    return left.join(repeated, match, "left_anti").unionByName(left.join(repeated, match, "left_semi").dropDuplicates([id_col, node])).select(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planloom.storage import cut
 
 
-HOT_ROWS = 50_000
+HOT_ROWS = 1_000_000
 
 
 def joined(rows: DataFrame, facts: DataFrame, keys: list[str], count: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -22,16 +22,20 @@ def joined(rows: DataFrame, facts: DataFrame, keys: list[str], count: str = "n",
     return rows.join(hot, keys).unionByName(cold)
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _back(rows: DataFrame, lowest: DataFrame, hot_rows: int | None) -> DataFrame:
+    return rows.join(lowest, "u") if hot_rows is None else joined(rows, lowest, ["u"], hot_rows=hot_rows)
+
+
+def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return joined(both, lowest, ["u"], hot_rows=hot_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _back(both, lowest, hot_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = joined(down, lowest, ["u"], hot_rows=hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _back(down, lowest, hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
@@ -44,12 +48,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot_rows: int =
     `max_rounds` do not suffice (the number needed grows with the logarithm of the longest path).
     """
     now = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, edges_now = None, now.count()
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now, hot_rows).distinct(), hot_rows).distinct())
+        # Both ends of every edge together are too few for a busy vertex: nothing to set apart.
+        hot = hot_rows if 2 * edges_now >= hot_rows else None
+        now = cut(_small_star(_large_star(now, hot).distinct(), hot).distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen or not sign[0]:
             roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
             return now.select("u", F.col("v").alias("root")).unionByName(roots)
-        seen = sign
+        seen, edges_now = sign, sign[0]
     raise RuntimeError("connected_components did not settle")

@@ -62,7 +62,7 @@ class Machine:
 
 def _packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All rows end to end, and where each begins."""
-    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, rows)])
+    return np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False), np.cumsum([0, *map(len, rows)])
 
 
 def _batch(flat: np.ndarray, starts: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +81,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 20, factors: int
     dims = 1 << bits
     flat, starts = _packed(rows)
     known = np.flatnonzero(np.bincount(flat, minlength=dims) >= least_docs)
-    place = np.full(dims, -1)
+    place = np.full(dims, -1, np.int32)
     place[known] = np.arange(len(known))
     words = known[known % 2 == 0]
-    place_of_word = np.full(dims, -1)
+    place_of_word = np.full(dims, -1, np.int32)
     place_of_word[words] = np.arange(len(words))
     every = _packed([r[r >= 0] for r in (place[r] for r in rows)])
     pairs = _packed([r[r >= 0] for r in (place_of_word[r] for r in rows)])
@@ -134,9 +134,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 4000, id_
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([terms(x, bits) for x in bodies(b, text_col)], pa.list_(pa.int32())), b.column(id_col)], ["toxic", "x", id_col])
 
     found = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)  # at most two times per_class rows
-    got = arrow_map(found, run, f"toxic int, x array<int>, {id_col} long").toArrow().to_pandas()
-    got = got.assign(n=got["x"].map(len), h=got["x"].map(lambda x: hash(tuple(x)))).sort_values([id_col, "n", "h"], kind="stable")
-    return [np.asarray(x, np.int64) for x in got["x"]], got["toxic"].to_numpy(float)
+    got = arrow_map(found, run, f"toxic int, x array<int>, {id_col} long").toArrow()
+    xs = [x.values.to_numpy() for x in got["x"]]
+    order = sorted(range(len(xs)), key=lambda k: (got[id_col][k].as_py(), len(xs[k]), xs[k].tobytes()))
+    return [xs[k] for k in order], got["toxic"].to_numpy()[order].astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **how) -> Machine:

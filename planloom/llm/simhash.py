@@ -206,17 +206,17 @@ def node_of(body: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body))))
 
 
-def prefix(body: bytes, shingle_words: int, similarity: float, common: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+def prefix(body: bytes, shingle_words: int, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
     """(number of distinct shingles, keys): the first n - ceil(similarity n) + 1 shingles in a fixed order of all shingles.
 
     Sets with that Jaccard similarity share at least ceil(similarity n) shingles, so one of them is in both prefixes,
-    whatever the order is. It is by hash, with the sorted hashes `common` last.
+    whatever the order is. It is by hash; the hashes `common` (sorted hashes, their counts) follow all others, by rising count.
     """
     keys = np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64))
     n = len(keys)
-    if common is not None and len(common):
-        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
-        keys = keys[np.argsort(common[at] == keys, kind="stable")]
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
+        keys = keys[np.argsort(np.where(common[0][at] == keys, common[1][at], 0), kind="stable")]
     return n, keys[: n - math.ceil(similarity * n - 1e-9) + 1] if n else keys
 
 
@@ -259,20 +259,23 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col
 def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
     """(key, node, n, pos, size): prefix shingles found in more than one node.
 
-    Shingles found in over `often` prefixes go to the end of the order, so that texts which only share a common
-    passage do not meet. Any order is exact; at most `most_common` such shingles are set back.
+    Shingles found in over `often` prefixes go to the end of the order, the most common last, so that texts which only
+    share a common passage do not meet. Any order is exact; at most `most_common` such shingles are set back.
     """
     spark = docs.sparkSession
     each = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     top = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common)
-    common = np.sort(top.select("key").toArrow()["key"].to_numpy().astype(np.int64))
+    found = top.toArrow()
+    common = found["key"].to_numpy().astype(np.int64)
     if len(common):
+        by_key = np.argsort(common)
+        common = common[by_key], found["c"].to_numpy()[by_key]
         sent = spark.sparkContext.broadcast(common)
 
         def touched(batches):
             for b in batches:
                 flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]
+                owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value[0])]
                 yield b.select(["node", "rep"]).take(pa.array(np.unique(owner)))
 
         def again(batches):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.storage import cut
@@ -22,28 +22,31 @@ def joined(rows: DataFrame, facts: DataFrame, keys: list[str], count: str = "n",
     return rows.join(hot, keys).unionByName(cold)
 
 
-def _back(rows: DataFrame, lowest: DataFrame, hot_rows: int | None) -> DataFrame:
-    return rows.join(lowest, "u") if hot_rows is None else joined(rows, lowest, ["u"], hot_rows=hot_rows)
+def _lowest(edges: DataFrame, hot_rows: int | None) -> DataFrame:
+    """(u, v, m): each edge with the smallest v of its u. Without hot_rows a vertex has few edges and one shuffle does."""
+    if hot_rows is None:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    lowest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return joined(edges, lowest, ["u"], hot_rows=hot_rows)
 
 
 def _large_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _back(both, lowest, hot_rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _lowest(both, hot_rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame, hot_rows: int | None) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _back(down, lowest, hot_rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
+    """Every smaller neighbour of u, and u itself, goes to the smallest one."""
+    down = _lowest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), hot_rows)
+    moved = down.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(u, v)`` -> ``(u, root)``: the smallest vertex reachable, for every vertex that has an edge to another.
 
-    Minima are partial aggregates; those of vertices with `hot_rows` edges or more are broadcast back, so such a vertex never
-    gathers in one task.
+    Where all edge ends together are fewer than `hot_rows`, a window finds the minima. Otherwise they are partial aggregates, and those
+    of vertices with `hot_rows` edges or more are broadcast back, so no vertex with so many edges gathers in one task.
     Each round is checkpointed in the shared folder. Edges with a null end and loops are ignored. Raises if
     `max_rounds` do not suffice (the number needed grows with the logarithm of the longest path).
     """
@@ -52,7 +55,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot_rows: int =
     for _ in range(max_rounds):
         # Both ends of every edge together are too few for a busy vertex: nothing to set apart.
         hot = hot_rows if 2 * edges_now >= hot_rows else None
-        now = cut(_small_star(_large_star(now, hot).distinct(), hot).distinct())
+        stars = _large_star(now, hot)
+        now = cut(_small_star(stars if hot is None else stars.distinct(), hot).distinct())
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == seen or not sign[0]:
             roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()

@@ -307,13 +307,15 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
-def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 3, salts: int = 16) -> DataFrame:
+def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 3, salts: int = 16, pairs_a_row: int = 64) -> DataFrame:
     """(u, v): verified links whose closure is that of all pairs of nodes that share a key and have the given similarity.
 
     Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, again
     with a further centre for what is left; the links found unite nodes. Then every member outside the bucket's
     largest united part is compared with every member of another part. Pairs within one part need no comparison,
-    as they are connected already, so nothing is lost and a group of near copies costs no pairs.
+    as they are connected already, so nothing is lost and a group of near copies costs no pairs. Centres only save
+    comparisons: once what is left is at most `pairs_a_row` pairs a row, or a round has saved less than half of the pairs,
+    all of it is compared at once.
     """
     lists = keys.where(F.col("size") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "n", "pos")).alias("in"))
     pairs = lists.select(F.explode("in").alias("a"), "in").select("a", F.explode("in").alias("b")).where("b.node < a.node").where(_may_link("a", "b", similarity))
@@ -324,16 +326,19 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
     links = cut(verified(pairs, sets, similarity))
     # A text in many large buckets stands at the middle of a group of copies.
     weight = hot.groupBy("node").agg(F.count("*").alias("w"))
-    left = hot.join(weight, "node")
+    left, before = hot.join(weight, "node"), math.inf
     for k in range(star_rounds + 1):
         left = _rooted(left, links)
         parts = left.groupBy("key", "root").agg(F.count("*").alias("c"), F.max(F.struct("w", "node", "n", "pos")).alias("best"))
-        buckets = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"))
+        buckets = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"), (F.col("all") - F.col("main.c")).alias("out"))
         left = cut(left.join(buckets, "key"))
-        if left.isEmpty():
+        n, work = left.agg(F.count("*"), F.sum(F.col("out").cast("double"))).first()
+        if not n:
             break
         outside = left.where("root <> main")
-        if k < star_rounds:
+        last = k == star_rounds or work <= pairs_a_row * n or 2 * work > before
+        before = work
+        if not last:
             some = left if not k else outside
             centre = some.groupBy("key").agg(F.max(F.struct("w", "node", "n", "pos", "root")).alias("b"))
             both = left.select("key", F.struct("node", "n", "pos", "root").alias("a")).join(centre, "key")
@@ -343,7 +348,9 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
             both = left.select("key", F.struct("node", "n", "pos", "root").alias("a"), salt.alias("salt")).join(small, ["key", "salt"])
         more = both.where("a.root <> b.root").where(_may_link("a", "b", similarity)).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
         links = cut(links.unionByName(verified(more, sets, similarity)).distinct())
-        left = left.drop("root", "main")
+        if last:
+            break
+        left = left.drop("root", "main", "out")
     return links
 
 

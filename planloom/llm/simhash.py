@@ -21,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, words_of
@@ -206,13 +206,16 @@ def node_of(body: bytes) -> int:
     return signed(xxhash.xxh3_64_intdigest(b" ".join(words_of(body))))
 
 
-def prefix(body: bytes, shingle_words: int, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
-    """(number of distinct shingles, keys): the first n - ceil(similarity n) + 1 shingles in a fixed order of all shingles.
+def shingle_keys(body: bytes, shingle_words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64))
+
+
+def prefix(keys: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
+    """(number of sorted distinct shingles, keys): the first n - ceil(similarity n) + 1 shingles in a fixed order of all shingles.
 
     Sets with that Jaccard similarity share at least ceil(similarity n) shingles, so one of them is in both prefixes,
     whatever the order is. It is by hash; the hashes `common` (sorted hashes, their counts) follow all others, by rising count.
     """
-    keys = np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).view(np.int64))
     n = len(keys)
     if common is not None and len(common[0]):
         at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
@@ -226,7 +229,7 @@ def _prefixed(docs: DataFrame, shingle_words: int, similarity: float, id_col: st
     def run(batches):
         for b in batches:
             texts = bodies(b, text_col)
-            made = [prefix(x, shingle_words, similarity) for x in texts]
+            made = [prefix(shingle_keys(x, shingle_words), similarity) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
 
     return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, n int, prefix array<long>")
@@ -263,30 +266,47 @@ def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarit
     share a common passage do not meet. Any order is exact; at most `most_common` such shingles are set back.
     """
     spark = docs.sparkSession
+
+    def frequent(each):
+        """(sorted keys, their counts) of the keys found more than `often` times."""
+        top = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common).toArrow()
+        keys = top["key"].to_numpy().astype(np.int64)
+        return keys[by_key := np.argsort(keys)], top["c"].to_numpy()[by_key]
+
     each = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    top = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common)
-    found = top.toArrow()
-    common = found["key"].to_numpy().astype(np.int64)
-    if len(common):
-        by_key = np.argsort(common)
-        common = common[by_key], found["c"].to_numpy()[by_key]
-        sent = spark.sparkContext.broadcast(common)
-
-        def touched(batches):
+    first = frequent(each.select("key"))
+    if len(first[0]):
+        def touched(common):
+            sent = spark.sparkContext.broadcast(common)
+
+            def run(batches):
+                for b in batches:
+                    flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
+                    owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]
+                    yield b.select(["node", "rep"]).take(pa.array(np.unique(owner)))
+
+            return arrow_map(nodes.select("node", "rep", "prefix"), run, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}")
+
+        def whole(batches):
             for b in batches:
-                flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value[0])]
-                yield b.select(["node", "rep"]).take(pa.array(np.unique(owner)))
+                found = [(node, shingle_keys(body, shingle_words)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "keys"])
+
+        read = lambda wanted: written(arrow_map(_texts_of(docs, cut(wanted), id_col, text_col), whole, "node long, keys array<long>").dropDuplicates(["node"]), "whole")
+        sets = read(touched(first[0]))
+        # What follows the first prefixes is as common as they are: all shingles of these texts are counted.
+        common = frequent(sets.select(F.explode("keys").alias("key")))
+        sets = sets.unionByName(read(touched(common[0]).join(sets.select("node"), "node", "left_anti")))
+        ranked = spark.sparkContext.broadcast(common)
 
         def again(batches):
             for b in batches:
-                found = [(node, *prefix(body, shingle_words, similarity, sent.value)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
+                found = [prefix(keys, similarity, ranked.value) for keys in map(np.asarray, b.column("keys").to_numpy(zero_copy_only=False))]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
 
-        wanted = cut(arrow_map(nodes.select("node", "rep", "prefix"), touched, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}"))
-        redone = written(arrow_map(_texts_of(docs, wanted, id_col, text_col), again, "node long, n int, prefix array<long>").dropDuplicates(["node"]), "prefixes")
+        redone = arrow_map(sets, again, "node long, n int, prefix array<long>")
         # A prefix without a common shingle is the same in the new order.
-        same = nodes.join(redone.select("node"), "node", "left_anti").select("node", "n", "prefix")
+        same = nodes.join(sets.select("node"), "node", "left_anti").select("node", "n", "prefix")
         each = written(same.unionByName(redone), "ordered").select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return cut(joined(each, sizes, ["key"], "size"))
@@ -307,13 +327,13 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
-def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 3, salts: int = 16, pairs_a_row: int = 64) -> DataFrame:
+def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 6, salts: int = 16, pairs_a_row: int = 64) -> DataFrame:
     """(u, v): verified links whose closure is that of all pairs of nodes that share a key and have the given similarity.
 
-    Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, again
-    with a further centre for what is left; the links found unite nodes. Then every member outside the bucket's
-    largest united part is compared with every member of another part. Pairs within one part need no comparison,
-    as they are connected already, so nothing is lost and a group of near copies costs no pairs. Centres only save
+    Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, and the
+    texts around it are linked by what sets them apart from it (around_centres). These leave the bucket, and a further
+    centre is taken for what is left. In the end every member outside the bucket's largest united part is compared
+    with every member of another part; pairs within one part are connected already. Nothing is lost. Centres only save
     comparisons: once what is left is at most `pairs_a_row` pairs a row, or a round has saved less than half of the pairs,
     all of it is compared at once.
     """
@@ -324,11 +344,11 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(hot.select("node")).distinct()
     sets = sets_of(cut(ends))
     links = cut(verified(pairs, sets, similarity))
-    # A text in many large buckets stands at the middle of a group of copies.
-    weight = hot.groupBy("node").agg(F.count("*").alias("w"))
-    left, before = hot.join(weight, "node"), math.inf
+    # A text with much of its prefix in large buckets stands at the middle of a group of copies.
+    weight = F.count("*").over(Window.partitionBy("node")) / F.col("n")
+    left, before = hot, math.inf
     for k in range(star_rounds + 1):
-        left = _rooted(left, links)
+        left = _rooted(left.withColumn("w", weight), links)
         parts = left.groupBy("key", "root").agg(F.count("*").alias("c"), F.max(F.struct("w", "node", "n", "pos")).alias("best"))
         buckets = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"), (F.col("all") - F.col("main.c")).alias("out"))
         left = cut(left.join(buckets, "key"))
@@ -336,24 +356,54 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
         if not n:
             break
         outside = left.where("root <> main")
-        last = k == star_rounds or work <= pairs_a_row * n or 2 * work > before
+        last = k == star_rounds or work <= pairs_a_row * n or work > 0.8 * before
         before = work
-        if not last:
-            some = left if not k else outside
-            centre = some.groupBy("key").agg(F.max(F.struct("w", "node", "n", "pos", "root")).alias("b"))
-            both = left.select("key", F.struct("node", "n", "pos", "root").alias("a")).join(centre, "key")
-        else:
+        if last:
             salt = F.pmod(F.xxhash64("node"), F.lit(salts))
             small = outside.select("key", F.struct("node", "n", "pos", "root").alias("b"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt"))
             both = left.select("key", F.struct("node", "n", "pos", "root").alias("a"), salt.alias("salt")).join(small, ["key", "salt"])
-        more = both.where("a.root <> b.root").where(_may_link("a", "b", similarity)).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-        links = cut(links.unionByName(verified(more, sets, similarity)).distinct())
-        if last:
+            more = both.where("a.root <> b.root").where(_may_link("a", "b", similarity)).select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+            links = cut(links.unionByName(verified(more, sets, similarity)).distinct())
             break
-        left = left.drop("root", "main", "out")
+        centre = left.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("b")).select("key", F.col("b.node").alias("c"), F.col("b.n").alias("nc"))
+        left = cut(left.join(centre, "key").select("key", "node", "n", "pos", "root", "c", "nc"))
+        found, done = around_centres(left, sets, similarity)
+        links = cut(links.unionByName(found).distinct())
+        left = left.where("node <> c").join(done, ["c", "node"], "left_anti").select("key", "node", "n", "pos")
     return links
 
 
+def around_centres(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(links, done) of rows (node, n, root, c, nc), c being a centre: verified links, and the (c, node) that need no more comparison with any row of c.
+
+    D(u) is the symmetric difference of the sets of u and c; that of two texts is that of their D. With
+    k = (1 - s) / (1 + s), similarity s or more means |D(u)| + |D(v)| - 2 |D(u) & D(v)| <= k (|u| + |v|). As |D(u)| is at least
+    |u| - |c|, two such texts with nothing in common in D are both alike to the centre, hence connected. All others share an element
+    of their D, and the overlap needed bounds its place, rare elements first. Distances obey the triangle
+    inequality: of a pair at most 1 - s apart both lie within 3 (1 - s) of the centre, or both beyond 2 (1 - s).
+    """
+    apart, k = 1 - similarity, (1 - similarity) / (1 + similarity)
+    near = rows.where("node <> c").where(F.least("n", "nc") >= (1 - 3 * apart) * F.greatest("n", "nc") - 2).select("c", "node", "root").distinct()
+    of = lambda node, shingles: sets.select(F.col("node").alias(node), F.col("shingles").alias(shingles))
+    both = near.join(of("node", "su"), "node").join(of("c", "sc"), "c")
+    both = both.select("c", "node", "root", F.size("su").alias("n"), F.size("sc").alias("nc"), F.array_union(F.array_except("su", "sc"), F.array_except("sc", "su")).alias("d")).withColumn("size", F.size("d"))
+    # |union| = (n + nc + |D|) / 2
+    distance = 2 * F.col("size") / (F.col("n") + F.col("nc") + F.col("size"))
+    both = cut(both.withColumn("far", distance).where(F.col("far") <= 3 * apart + 1e-9).withColumn("star", F.col("size") <= k * (F.col("n") + F.col("nc")) + 1e-9))
+    stars = both.where("star").select(F.greatest("c", "node").alias("u"), F.least("c", "node").alias("v"))
+    each = both.select("c", "node", "root", "n", "size", "star", F.explode("d").alias("x"))
+    counts = each.groupBy("c", "x").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("c", "node").orderBy("f", "x")  # as many rows as one text differs in
+    each = joined(each, counts, ["c", "x"], "f").withColumn("pos", F.row_number().over(order) - 1).where("f > 1")
+    side = F.struct("node", "root", "n", "size", "star", "pos")
+    a, b = (each.select("c", "x", side.alias(name)) for name in "ab")
+    most = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    needed = F.col("a.size") + F.col("b.size") - k * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (a.c == b.c) & (a.x == b.x) & F.expr("a.node > b.node and a.root <> b.root and not (a.star and b.star)") & (2 * most >= needed - 1e-6))
+    more = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    return stars.unionByName(verified(more, sets, similarity)), both.where(F.col("far") <= 2 * apart - 1e-9).select("c", "node")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Pairs whose shingle sets have at least the given Jaccard similarity; only the sets they need are shuffled."""
     pairs = cut(pairs)

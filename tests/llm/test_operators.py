@@ -534,3 +534,46 @@ def test_decontamination_finds_excerpts_other_cases_and_short_items(spark):
     got = {r.doc_id: r["items"] for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert [i for i in range(10, 34) if got[i] != [1]] == []
     assert (got[50], got[51], got[52], got[53]) == ([2], [3], [], [])
+
+
+def test_texts_around_centres_match_brute_force(spark, monkeypatch):
+    """Families of edited texts, every large bucket through centres."""
+    import random
+
+    from planloom.llm import simhash as sh
+
+    monkeypatch.setattr(sh.near_copy_links, "__defaults__", (8, 6, 16, 0))
+    r, texts = random.Random(7), []
+    for family in range(3):
+        base = [f"w{family}_{i}" for i in range(r.choice([40, 70, 110]))]
+        for _ in range(230):
+            t = list(base)
+            for _ in range(r.choice([1, 1, 2, 2, 3, 4])):
+                i, kind = r.randrange(len(t)), r.random()
+                if kind < 0.5:
+                    t[i] = f"x{r.randrange(40)}"
+                elif kind < 0.75:
+                    del t[i]
+                else:
+                    t[i:i] = [f"y{r.randrange(9)}" for _ in range(r.randrange(1, 12))]
+            texts.append(" ".join(t))
+    sets = [set(sh.shingle_keys(t.encode(), 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-12:
+                up[top(i)] = top(j)
+    want, got = {}, {}
+    for i in range(len(texts)):
+        want.setdefault(top(i), []).append(i)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in sh.near_duplicates(frame).orderBy("doc_id").collect():
+        got.setdefault(x.root, []).append(x.doc_id)
+    assert sorted(want.values()) == sorted(got.values())

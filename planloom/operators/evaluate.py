@@ -69,6 +69,12 @@ def validity(rooms: DataFrame, errors: DataFrame, overlaps: DataFrame) -> DataFr
     return out.withColumn("valid", (F.col("n_errors") == 0) & (F.col("n_overlaps") == 0))
 
 
+def opening_dimensions(openings: DataFrame, key: str) -> DataFrame:
+    """(cap, dimension, value, sigma): the width or height of every opening under its key."""
+    name = F.concat(F.lit("room-"), F.col("room").cast("string"), F.lit("/opening-"), F.col("opening").cast("string"), F.lit(f"/{key}"))
+    return openings.select("cap", name.alias("dimension"), F.col(key).alias("value"), F.col(f"{key}_sigma").alias("sigma"))
+
+
 def flatten(footprint: DataFrame, rooms: DataFrame, walls: DataFrame, openings: DataFrame) -> DataFrame:
     """(cap, dimension, value, sigma): every measured dimension of a plan under its key."""
     room = F.concat(F.lit("room-"), F.col("room").cast("string"))
@@ -76,8 +82,7 @@ def flatten(footprint: DataFrame, rooms: DataFrame, walls: DataFrame, openings:
     for key, value in (("floor_area", "area"), ("ceiling_height", "height"), ("perimeter", "perimeter")):
         parts.append(rooms.where(F.col(value).isNotNull()).select("cap", F.concat(room, F.lit(f"/{key}")).alias("dimension"), F.col(value).alias("value"), F.col(f"{value}_sigma").alias("sigma")))
     parts.append(walls.select("cap", F.concat(room, F.lit("/wall-"), F.col("i").cast("string"), F.lit("/length")).alias("dimension"), F.col("length").alias("value"), F.col("length_sigma").alias("sigma")))
-    for key in ("width", "height"):
-        parts.append(openings.select("cap", F.concat(room, F.lit("/opening-"), F.col("opening").cast("string"), F.lit(f"/{key}")).alias("dimension"), F.col(key).alias("value"), F.col(f"{key}_sigma").alias("sigma")))
+    parts += [opening_dimensions(openings, key) for key in ("width", "height")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -112,9 +117,14 @@ def interval_coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cap").agg(F.avg(F.when(m, F.col("inside").cast("double"))).alias("coverage"), F.count_if(m).alias("n"))
 
 
-def opening_keys(frame: DataFrame) -> DataFrame:
+def opening_widths(frame: DataFrame) -> DataFrame:
+    """The rows of a table of dimensions or truths that are widths of openings."""
     d = F.col("dimension")
-    return frame.where(d.contains("/opening-") & d.endswith("/width")).select("cap", "dimension").distinct()
+    return frame.where(d.contains("/opening-") & d.endswith("/width"))
+
+
+def opening_keys(frame: DataFrame) -> DataFrame:
+    return opening_widths(frame).select("cap", "dimension").distinct()
 
 
 def phantoms(dimensions: DataFrame, truth: DataFrame) -> DataFrame:
@@ -128,7 +138,10 @@ def misses(dimensions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def opening_gate(rows: DataFrame, dimensions: DataFrame, truth: DataFrame) -> DataFrame:
-    """(cap, successes, truths, phantoms, fraction, passes), fraction and verdict only where the truth lists all openings."""
+    """(cap, successes, truths, phantoms, fraction, passes), fraction and verdict only where the truth lists all openings.
+
+    Only widths of openings count: `rows` and `dimensions` may hold just those, while `truth` has every truth of a plan.
+    """
     keys = opening_keys(truth)
     ok = rows.join(keys, ["cap", "dimension"], "left_semi").groupBy("cap").agg(F.count_if(F.col("passes")).alias("successes"), F.count("*").alias("truths"))
     extra = phantoms(dimensions, truth).groupBy("cap").agg(F.count("*").alias("phantoms"))

@@ -222,8 +222,9 @@ g AS (SELECT t.cap, ex, coalesce(successes, 0) AS successes, coalesce(truths, 0)
 SELECT cap, successes, truths, phantoms, CASE WHEN ex AND truths + phantoms > 0 THEN round(successes / (truths + phantoms) + 1e-9, 6) END AS fraction,
   CASE WHEN ex AND truths + phantoms > 0 THEN successes / (truths + phantoms) >= 0.85 END AS passes FROM g""")
 def opening_gate(spark, sf_dir):
-    d, t = dimensions(spark, sf_dir), truth_table(spark, sf_dir)
-    return E.opening_gate(E.evaluate_rows(d, t), d, t).select("cap", "successes", "truths", "phantoms", *_r("fraction"), "passes")
+    # No other dimension counts, and each would be one more pass over all rooms, walls and sigmas.
+    d, t = E.opening_dimensions(plan_tables(spark, sf_dir)[3], "width"), truth_table(spark, sf_dir)
+    return E.opening_gate(E.evaluate_rows(d, E.opening_widths(t)), d, t).select("cap", "successes", "truths", "phantoms", *_r("fraction"), "passes")
 
 
 CHECKS = PLAN + """, cw AS (SELECT cap, room, i, u AS su, v AS sv, nu + CASE WHEN room % 23 = 0 THEN 0.01 ELSE 0 END AS eu, nv AS ev, length + CASE WHEN room % 11 = 0 THEN 0.01 ELSE 0 END AS length, u, v, nu, nv FROM walls),

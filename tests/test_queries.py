@@ -51,3 +51,18 @@ def test_forest_and_solve_read_whole_tables(spark, tmp_path):
     spark.range(300).selectExpr("id as event_id", "id % 3 as user_id", "id as ts", "cast(id % 50 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
     seqs = sorted((r.cap, r.seq) for r in entry.queries()["smooth_solve"](spark, str(tmp_path)).collect())
     assert seqs == [(c, k) for c in range(3) for k in range(100)]
+
+
+def test_opening_gate_takes_opening_widths_only(spark):
+    """Areas, heights, perimeters and walls are not worked out for the gate, and leaving them out changes no row."""
+    from planloom.operators import evaluate as E
+    from planloom.plans import plan_queries as Q
+
+    if not os.path.isdir(DIR):
+        pytest.skip("sample tables are not here")
+    gate = entry.queries()["opening_gate"](spark, DIR)
+    text = gate._jdf.queryExecution().optimizedPlan().toString()
+    assert "/opening-" in text and not any(k in text for k in ("/floor_area", "/perimeter"))
+    d, t = Q.dimensions(spark, DIR), Q.truth_table(spark, DIR)
+    whole = E.opening_gate(E.evaluate_rows(d, t), d, t).select("cap", "successes", "truths", "phantoms", *Q._r("fraction"), "passes")
+    assert sorted(map(tuple, gate.collect())) == sorted(map(tuple, whole.collect()))

@@ -224,94 +224,130 @@ def prefix(keys: np.ndarray, similarity: float, common: tuple[np.ndarray, np.nda
 
 
 def _prefixed(docs: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, n, prefix)."""
+    """(id_col, node, fp, n, prefix); fp is the fingerprint of all shingles, repeats included."""
+
+    def of(body):
+        hashes = shingle_hashes(body, shingle_words)
+        return node_of(body), fingerprint(hashes), *prefix(np.unique(np.array(hashes, np.uint64).view(np.int64)), similarity)
 
     def run(batches):
         for b in batches:
-            texts = bodies(b, text_col)
-            made = [prefix(shingle_keys(x, shingle_words), similarity) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([node_of(x) for x in texts], pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], [id_col, "node", "n", "prefix"])
+            made = [of(x) for x in bodies(b, text_col)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), *[pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]], [id_col, "node", "fp", "n", "prefix"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, n int, prefix array<long>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} long, node long, fp long, n int, prefix array<long>")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(text_col, _node): the texts of the documents `rep` of the wanted nodes (node, rep); rows alike in id can bring other texts along."""
-    reps = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias(text_col))
-    if wanted.count() <= broadcast_rows:  # 16 bytes a row; larger sets are joined by shuffle
+def _rows_of(frame: DataFrame, wanted: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of a frame with the id `rep` of a wanted node (node, rep, c), with _node and c; rows alike in id can bring other texts along."""
+    reps = wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node"), "c")
+    if wanted.count() <= broadcast_rows:  # 24 bytes a row; larger sets are joined by shuffle
         reps = F.broadcast(reps)
-    return docs.join(reps, F.col("_id").eqNullSafe(F.col("_rep"))).select(text_col, "_node")
+    return frame.withColumnRenamed(id_col, "_id").join(reps, F.col("_id").eqNullSafe(F.col("_rep"))).drop("_id", "_rep")
+
+
+def _once(frame: DataFrame) -> DataFrame:
+    """One row a node: only nodes whose id and words are in several rows (c > 1) go through a shuffle."""
+    return frame.where("c = 1").unionByName(frame.where("c > 1").dropDuplicates(["node"])).drop("c")
+
+
+def _from_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, of, columns: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """(node, c, *columns): what `of` makes of the words of the wanted nodes (node, rep, c), read from the texts of their documents."""
+
+    def run(batches):
+        for b in batches:
+            found = [(node, c, *of(body)) for body, node, c in zip(bodies(b, text_col), b.column("_node").to_pylist(), b.column("c").to_pylist()) if node == node_of(body)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), *kinds))], ["node", "c", *columns])
+
+    return arrow_map(_rows_of(docs.select(id_col, text_col), wanted, id_col), run, f"node long, c long, {schema}")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep), read from the texts of their documents `rep`."""
+    """(node, c, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep, c)."""
+    of = lambda body: (np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)),)
+    return _from_texts(docs, wanted, id_col, text_col, of, ["shingles"], [pa.list_(pa.int32())], "shingles array<int>")
+
+
+def _frequent(keys: DataFrame, often: int, most_common: int, column: str = "keys", held_keys: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of the keys of arrays found more than `often` times, at most `most_common`.
+
+    Keys found once among the held keys of a task are not sent on, so counts can be too low where a key is spread thinly.
+    """
+
+    def counted(held):
+        found, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[c > 1], pa.int64()), pa.array(c[c > 1], pa.int64())], ["key", "c"])
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            nodes, sets = [], []
-            for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()):
-                if node == node_of(body):
-                    nodes.append(node)
-                    sets.append(np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+            held.append(b.column(column).flatten().to_numpy())
+            size += len(held[-1])
+            if size > held_keys:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
 
-    return arrow_map(_texts_of(docs, wanted, id_col, text_col), run, "node long, shingles array<int>").dropDuplicates(["node"])
+    top = arrow_map(keys.select(column), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common).toArrow()
+    found = top["key"].to_numpy().astype(np.int64)
+    return found[by_key := np.argsort(found)], top["c"].to_numpy()[by_key]
 
 
-def prefix_keys(docs: DataFrame, nodes: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
-    """(key, node, n, pos, size): prefix shingles found in more than one node.
+def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
+    """(key, node, n, pos, size): prefix shingles found in more than one node. `own` has (node, rep, c, n, prefix).
 
     Shingles found in over `often` prefixes go to the end of the order, the most common last, so that texts which only
     share a common passage do not meet. Any order is exact; at most `most_common` such shingles are set back.
     """
-    spark = docs.sparkSession
+    spark = docs.sparkSession.sparkContext
 
-    def frequent(each):
-        """(sorted keys, their counts) of the keys found more than `often` times."""
-        top = each.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common).toArrow()
-        keys = top["key"].to_numpy().astype(np.int64)
-        return keys[by_key := np.argsort(keys)], top["c"].to_numpy()[by_key]
-
-    each = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    first = frequent(each.select("key"))
-    if len(first[0]):
-        def touched(common):
-            sent = spark.sparkContext.broadcast(common)
+    def split(common):
+        """(wanted (node, rep, c) whose prefix has a common shingle, rows (node, c, n, prefix) of all others)."""
+        sent = spark.broadcast(common)
 
+        def parted(touched):
             def run(batches):
                 for b in batches:
                     flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
-                    owner = np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]
-                    yield b.select(["node", "rep"]).take(pa.array(np.unique(owner)))
+                    has = np.zeros(len(ends), bool)
+                    has[np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]] = True
+                    yield b.select(["node", "rep", "c"] if touched else ["node", "c", "n", "prefix"]).filter(pa.array(has if touched else ~has))
 
-            return arrow_map(nodes.select("node", "rep", "prefix"), run, f"node long, rep {nodes.schema['rep'].dataType.simpleString()}")
+            return run
 
-        def whole(batches):
-            for b in batches:
-                found = [(node, shingle_keys(body, shingle_words)) for body, node in zip(bodies(b, text_col), b.column("_node").to_pylist()) if node == node_of(body)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "keys"])
+        rep = own.schema["rep"].dataType.simpleString()
+        some = arrow_map(own.select("node", "rep", "c", "prefix"), parted(True), f"node long, rep {rep}, c long").dropDuplicates(["node"])
+        return cut(some), arrow_map(own.select("node", "rep", "c", "n", "prefix"), parted(False), "node long, c long, n int, prefix array<long>")
 
-        read = lambda wanted: written(arrow_map(_texts_of(docs, cut(wanted), id_col, text_col), whole, "node long, keys array<long>").dropDuplicates(["node"]), "whole")
-        sets = read(touched(first[0]))
+    each = own.select("node", "c", "n", "prefix")
+    first = _frequent(own, often, most_common, "prefix")
+    if len(first[0]):
         # What follows the first prefixes is as common as they are: all shingles of these texts are counted.
-        common = frequent(sets.select(F.explode("keys").alias("key")))
-        sets = sets.unionByName(read(touched(common[0]).join(sets.select("node"), "node", "left_anti")))
-        ranked = spark.sparkContext.broadcast(common)
-
-        def again(batches):
-            for b in batches:
-                found = [prefix(keys, similarity, ranked.value) for keys in map(np.asarray, b.column("keys").to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "n", "prefix"])
-
-        redone = arrow_map(sets, again, "node long, n int, prefix array<long>")
+        whole = _from_texts(docs, split(first[0])[0], id_col, text_col, lambda body: (shingle_keys(body, shingle_words),), ["keys"], [pa.list_(pa.int64())], "keys array<long>")
+        common = _frequent(whole, often, most_common)
+        ranked = spark.broadcast(common)
+        touched, same = split(common[0])
         # A prefix without a common shingle is the same in the new order.
-        same = nodes.join(sets.select("node"), "node", "left_anti").select("node", "n", "prefix")
-        each = written(same.unionByName(redone), "ordered").select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        again = _from_texts(docs, touched, id_col, text_col, lambda body: prefix(shingle_keys(body, shingle_words), similarity, ranked.value), ["n", "prefix"], [pa.int32(), pa.list_(pa.int64())], "n int, prefix array<long>")
+        each = same.unionByName(written(again, "ordered"))
+    each = _once(each).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    sizes = cut(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     return cut(joined(each, sizes, ["key"], "size"))
 
 
+def fingerprint_pairs(nodes: DataFrame, tau: int = 2) -> DataFrame:
+    """(u, v) of nodes (node, fp), to be verified: one node of each fingerprint stands for it, with the others of the same
+    fingerprint and with those that hamming_links links to it."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    links = hamming_links(heads.select("fp"), tau)
+    at = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    near = links.join(at("u", "a"), "u").join(at("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return cut(same.unionByName(near))
+
+
 def _may_link(a: str, b: str, similarity: float) -> Column:
     """No bound on the overlap by sizes and places of the first common shingle rules the pair out."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -327,10 +363,10 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
-def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: int = 8, star_rounds: int = 6, salts: int = 16, pairs_a_row: int = 64) -> DataFrame:
+def near_copy_links(keys: DataFrame, sets_of, similarity: float, first: DataFrame, bucket_limit: int = 8, star_rounds: int = 6, salts: int = 16, pairs_a_row: int = 64) -> DataFrame:
     """(u, v): verified links whose closure is that of all pairs of nodes that share a key and have the given similarity.
 
-    Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, and the
+    The pairs `first` (u, v) are verified before all others: what they unite is not compared again. Buckets of at most bucket_limit give all pairs. In a larger one a centre is first compared with all others, and the
     texts around it are linked by what sets them apart from it (around_centres). These leave the bucket, and a further
     centre is taken for what is left. In the end every member outside the bucket's largest united part is compared
     with every member of another part; pairs within one part are connected already. Nothing is lost. Centres only save
@@ -341,9 +377,14 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
     pairs = lists.select(F.explode("in").alias("a"), "in").select("a", F.explode("in").alias("b")).where("b.node < a.node").where(_may_link("a", "b", similarity))
     pairs = cut(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct())
     hot = cut(keys.where(F.col("size") > bucket_limit).select("key", "node", "n", "pos"))
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(hot.select("node")).distinct()
+    ends = pairs.unionByName(first).select(F.explode(F.array("u", "v")).alias("node")).unionByName(hot.select("node")).distinct()
     sets = sets_of(cut(ends))
-    links = cut(verified(pairs, sets, similarity))
+    links = cut(verified(first, sets, similarity))
+    roots = connected_components(links)
+    for end in "uv":
+        pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    apart = F.coalesce("ru", "u") != F.coalesce("rv", "v")
+    links = cut(links.unionByName(verified(pairs.where(apart).select("u", "v"), sets, similarity)))
     # A text with much of its prefix in large buckets stands at the middle of a group of copies.
     weight = F.count("*").over(Window.partitionBy("node")) / F.col("n")
     left, before = hot, math.inf
@@ -373,7 +414,7 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, bucket_limit: i
     return links
 
 
-def around_centres(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def around_centres(rows: DataFrame, sets: DataFrame, similarity: float, broadcast_shingles: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(links, done) of rows (node, n, root, c, nc), c being a centre: verified links, and the (c, node) that need no more comparison with any row of c.
 
     D(u) is the symmetric difference of the sets of u and c; that of two texts is that of their D. With
@@ -385,7 +426,10 @@ def around_centres(rows: DataFrame, sets: DataFrame, similarity: float) -> tuple
     apart, k = 1 - similarity, (1 - similarity) / (1 + similarity)
     near = rows.where("node <> c").where(F.least("n", "nc") >= (1 - 3 * apart) * F.greatest("n", "nc") - 2).select("c", "node", "root").distinct()
     of = lambda node, shingles: sets.select(F.col("node").alias(node), F.col("shingles").alias(shingles))
-    both = near.join(of("node", "su"), "node").join(of("c", "sc"), "c")
+    centres, chosen = of("c", "sc"), rows.select("c", "nc").distinct()
+    if (chosen.agg(F.sum("nc")).first()[0] or 0) <= broadcast_shingles:  # 4 bytes each; else the sets of all others are shuffled by centre
+        centres = F.broadcast(centres.join(F.broadcast(chosen.select("c")), "c", "left_semi"))
+    both = near.join(of("node", "su"), "node").join(centres, "c")
     both = both.select("c", "node", "root", F.size("su").alias("n"), F.size("sc").alias("nc"), F.array_union(F.array_except("su", "sc"), F.array_except("sc", "su")).alias("d")).withColumn("size", F.size("d"))
     # |union| = (n + nc + |D|) / 2
     distance = 2 * F.col("size") / (F.col("n") + F.col("nc") + F.col("size"))
@@ -418,13 +462,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_row
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"):
     """One row per document: (id_col, node, root); equal roots are near-duplicate groups.
 
+    SimHash comes first: fingerprints of the shingles at most two bits apart link their texts, where the shingle sets have
+    the similarity. A fingerprint can be further apart than that for a pair that is alike, so an exact search by common
+    shingles then joins what the fingerprints have left apart; it compares no pair that they have united.
     Copies that agree in all words (A-Z lower-cased) are one node; texts without words are one node too.
     """
     rows = written(_prefixed(docs, shingle_words, similarity, id_col, text_col), "prefixed")
-    nodes = written(rows.groupBy("node").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    keys = prefix_keys(docs, nodes, shingle_words, similarity, id_col, text_col)
-    sets_of = lambda ends: written(_shingle_sets(docs, cut(nodes.select("node", "rep").join(ends, "node")), shingle_words, id_col, text_col), "sets")
-    roots = connected_components(near_copy_links(keys, sets_of, similarity))
+    seen = rows.groupBy("node", id_col).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    lowest = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("rep"), "c")).alias("k")
+    nodes = written(seen.groupBy("node").agg(lowest, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "k.rep", "k.c", "n", "fp"), "nodes")
+    first = fingerprint_pairs(nodes.select("node", "fp"))
+    own = _rows_of(rows.withColumn("rep", F.col(id_col)), nodes, id_col).where("node = _node").select("node", "rep", "c", "n", "prefix")
+    keys = prefix_keys(docs, own, shingle_words, similarity, id_col, text_col)
+    sets_of = lambda ends: _once(written(_shingle_sets(docs, cut(nodes.select("node", "rep", "c").join(ends, "node")), shingle_words, id_col, text_col), "sets"))
+    roots = connected_components(near_copy_links(keys, sets_of, similarity, first))
     ids = rows.select(id_col, "node")
     return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
 

@@ -577,3 +577,22 @@ def test_texts_around_centres_match_brute_force(spark, monkeypatch):
     for x in sh.near_duplicates(frame).orderBy("doc_id").collect():
         got.setdefault(x.root, []).append(x.doc_id)
     assert sorted(want.values()) == sorted(got.values())
+
+
+def test_near_duplicates_by_fingerprints_alone(spark, monkeypatch):
+    """With no shingle in common found by the exact search, texts within two bits of their fingerprints are still groups."""
+    rng = random.Random(15)
+    texts = []
+    for size in (150, 300, 600):
+        for _ in range(8):
+            t = words(rng, size).lower()
+            texts += [t, f"{t} {words(rng, 1).lower()}", f"{t} {words(rng, 2).lower()}", t.upper()]
+    found = spark.createDataFrame([], "key long, node long, n int, pos int, size long")
+    monkeypatch.setattr(simhash, "prefix_keys", lambda *args, **kw: found)
+    got = {r.doc_id: r.root for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) & (1 << 64) - 1 for t in texts]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert sum(texts[a].lower() != texts[b].lower() for a, b in near) >= 10
+    assert all(got[a] == got[b] for a, b in near)
+    assert len(set(got.values())) >= 24

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.llm.common import arrow_map, ragged, texts
+from planloom.llm.common import arrow_map, kept, ragged, texts
 from planloom.storage import new_folder, written
 
 MAGIC = b"PLBITS01"
@@ -204,7 +204,7 @@ class CachedEncoder:
         return np.concatenate(own), np.array([len(o) for o in own], np.int64)
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
+_ENCODERS: dict[str, CachedEncoder] = kept(__name__)
 
 
 def encoder(path: str) -> CachedEncoder:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, bool] = {}
+_KEPT: dict[str, dict] = {}
 BATCH_ROWS = 1000
 
 
@@ -57,6 +58,18 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def kept(owner: str) -> dict:
+    """What a worker process keeps for the module `owner` from task to task, until a task of another module begins."""
+    return _KEPT.setdefault(owner, {})
+
+
+def drop_kept(owner: str) -> None:
+    """Empty what is kept for all modules but `owner`."""
+    for name, held in _KEPT.items():
+        if name != owner:
+            held.clear()
+
+
 def give_back() -> None:
     """Freed memory goes back to the system: a worker process outlives its tasks, and idle ones count beside those that work."""
     pa.default_memory_pool().release_unused()
@@ -67,7 +80,10 @@ def give_back() -> None:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
 
+    owner = fn.__module__
+
     def run(batches):
+        drop_kept(owner)
         yield from fn(batches)
         give_back()
 

@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from planloom.llm.bitpack import chunks
-from planloom.llm.common import arrow_map, ragged, texts
+from planloom.llm.common import arrow_map, kept, ragged, texts
 
 SPACE = "▁"
 NO_RANK = float("inf")
@@ -236,7 +237,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at, self.flat, self.starts, self.sizes, self.used = {}, [np.zeros(0, np.int32)], [], [], 0
+        self.at, self.flat, self.starts, self.sizes = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _cut(self, text: str) -> list[str]:
         if not text:
@@ -261,18 +262,15 @@ class PieceEncoder:
         if new:
             words = sorted((self._word(k), k) for k in new)
             ids = self.walk.encode([w for w, _ in words])
-            sizes = list(map(len, ids))
-            ends = self.used + np.cumsum(sizes)
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            ends = len(self.flat) + np.cumsum(sizes, dtype=np.int64)
             self.at.update(zip((k for _, k in words), range(len(self.starts), len(self.starts) + len(words))))
-            self.starts += (ends - sizes).tolist()
-            self.sizes += sizes
-            self.flat = [np.concatenate([*self.flat, np.fromiter((x for y in ids for x in y), np.int32, int(sum(sizes)))])]
-            self.used += int(sum(sizes))
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
         out, lengths = [np.zeros(0, np.int32)], []
         for c in cut:
             k = np.fromiter(map(self.at.__getitem__, c), np.int64, len(c))
-            out.append(self.flat[0][ragged(starts[k], sizes[k])])
+            out.append(self.flat[ragged(self.starts[k], self.sizes[k])])
             lengths.append(len(out[-1]))
         return np.concatenate(out), np.array(lengths, np.int64)
 
@@ -282,7 +280,7 @@ class PieceEncoder:
         return text[1:] if text[:1] == " " else text
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = kept(__name__)
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -252,15 +252,24 @@ def _once(frame: DataFrame) -> DataFrame:
     return frame.where("c = 1").unionByName(frame.where("c > 1").dropDuplicates(["node"])).drop("c")
 
 
-def _from_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, of, columns: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
-    """(node, c, *columns): what `of` makes of the words of the wanted nodes (node, rep, c), read from the texts of their documents."""
+def _from_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, of, columns: list[str], kinds: list[pa.DataType], schema: str, then=None) -> DataFrame:
+    """(node, c, *columns): what `of` makes of the words of the wanted nodes (node, rep, c), read from the texts of their documents.
+
+    With `then`, what that makes of these rows, batch by batch in the same worker: a step of its own would be a second worker a core.
+    """
 
     def run(batches):
         for b in batches:
             found = [(node, c, *of(body)) for body, node, c in zip(bodies(b, text_col), b.column("_node").to_pylist(), b.column("c").to_pylist()) if node == node_of(body)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), *kinds))], ["node", "c", *columns])
 
-    return arrow_map(_rows_of(docs.select(id_col, text_col), wanted, id_col), run, f"node long, c long, {schema}")
+    if then is None:
+        return arrow_map(_rows_of(docs.select(id_col, text_col), wanted, id_col), run, f"node long, c long, {schema}")
+
+    def both(batches):
+        yield from then(run(batches))
+
+    return arrow_map(_rows_of(docs.select(id_col, text_col), wanted, id_col), both, schema)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -269,11 +278,8 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col
     return _from_texts(docs, wanted, id_col, text_col, of, ["shingles"], [pa.list_(pa.int32())], "shingles array<int>")
 
 
-def _frequent(keys: DataFrame, often: int, most_common: int, column: str = "keys", held_keys: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, counts) of the keys of arrays found more than `often` times, at most `most_common`.
-
-    Keys found once among the held keys of a task are not sent on, so counts can be too low where a key is spread thinly.
-    """
+def _counted(column: str, held_keys: int = 1_000_000):
+    """A step over batches: (key, c) of the keys in an array column; keys found once among the held keys are not sent on."""
 
     def counted(held):
         found, c = np.unique(np.concatenate(held), return_counts=True)
@@ -290,11 +296,26 @@ def _frequent(keys: DataFrame, often: int, most_common: int, column: str = "keys
         if held:
             yield counted(held)
 
-    top = arrow_map(keys.select(column), run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common).toArrow()
+    return run
+
+
+def _frequent(counts: DataFrame, often: int, most_common: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of the keys found more than `often` times, at most `most_common`, from counts by task (key, c).
+
+    Keys found once among the held keys of a task are not sent on, so counts can be too low where a key is spread thinly.
+    """
+    top = counts.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") > often).orderBy(F.desc("c"), "key").limit(most_common).toArrow()
     found = top["key"].to_numpy().astype(np.int64)
     return found[by_key := np.argsort(found)], top["c"].to_numpy()[by_key]
 
 
+def _held_in(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among sorted keys."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity: float, id_col: str, text_col: str, often: int = 64, most_common: int = 1_000_000) -> DataFrame:
     """(key, node, n, pos, size): prefix shingles found in more than one node. `own` has (node, rep, c, n, prefix).
 
@@ -305,14 +326,14 @@ def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity:
 
     def split(common):
         """(wanted (node, rep, c) whose prefix has a common shingle, rows (node, c, n, prefix) of all others)."""
-        sent = spark.broadcast(common)
+        sent = spark.broadcast(common[0])
 
         def parted(touched):
             def run(batches):
                 for b in batches:
                     flat, ends = b.column("prefix").flatten().to_numpy(), b.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
                     has = np.zeros(len(ends), bool)
-                    has[np.repeat(np.arange(len(ends)), ends)[np.isin(flat, sent.value)]] = True
+                    has[np.repeat(np.arange(len(ends)), ends)[_held_in(flat, sent.value)]] = True
                     yield b.select(["node", "rep", "c"] if touched else ["node", "c", "n", "prefix"]).filter(pa.array(has if touched else ~has))
 
             return run
@@ -322,13 +343,13 @@ def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity:
         return cut(some), arrow_map(own.select("node", "rep", "c", "n", "prefix"), parted(False), "node long, c long, n int, prefix array<long>")
 
     each = own.select("node", "c", "n", "prefix")
-    first = _frequent(own, often, most_common, "prefix")
+    first = _frequent(arrow_map(own.select("prefix"), _counted("prefix"), "key long, c long"), often, most_common)
     if len(first[0]):
         # What follows the first prefixes is as common as they are: all shingles of these texts are counted.
-        whole = _from_texts(docs, split(first[0])[0], id_col, text_col, lambda body: (shingle_keys(body, shingle_words),), ["keys"], [pa.list_(pa.int64())], "keys array<long>")
+        whole = _from_texts(docs, split(first)[0], id_col, text_col, lambda body: (shingle_keys(body, shingle_words),), ["keys"], [pa.list_(pa.int64())], "key long, c long", _counted("keys"))
         common = _frequent(whole, often, most_common)
         ranked = spark.broadcast(common)
-        touched, same = split(common[0])
+        touched, same = split(common)
         # A prefix without a common shingle is the same in the new order.
         again = _from_texts(docs, touched, id_col, text_col, lambda body: prefix(shingle_keys(body, shingle_words), similarity, ranked.value), ["n", "prefix"], [pa.int32(), pa.list_(pa.int64())], "n int, prefix array<long>")
         each = same.unionByName(written(again, "ordered"))

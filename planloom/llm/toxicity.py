@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import arrow_map, bodies, ragged, remainder, words_of
+from planloom.llm.common import arrow_map, bodies, kept, ragged, remainder, words_of
 
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
 
 PREFIXES = (4, 5, 6)
-_HASHES: dict[bytes, tuple[int, ...]] = {}
+_HASHES: dict[bytes, tuple[int, ...]] = kept(__name__)
 
 
 def _hashes(word: bytes) -> tuple[int, ...]:

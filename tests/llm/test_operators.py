@@ -596,3 +596,35 @@ def test_near_duplicates_by_fingerprints_alone(spark, monkeypatch):
     assert sum(texts[a].lower() != texts[b].lower() for a, b in near) >= 10
     assert all(got[a] == got[b] for a, b in near)
     assert len(set(got.values())) >= 24
+
+
+def test_workers_drop_what_other_operators_keep(spark):
+    """A worker process serves all operators in turn; words hashed for one must not stay while another works."""
+    from types import SimpleNamespace
+
+    from planloom.llm import common
+
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run)
+    mine = lambda batches: batches
+    mine.__module__ = "planloom.llm.toxicity"
+    toxicity.terms(b"some words", 20)
+    assert list(common.arrow_map(frame, mine, "")([])) == [] and toxicity._HASHES
+    pieces._ENCODERS["some"] = bitpack._ENCODERS["some"] = None
+    mine.__module__ = "planloom.llm.simhash"
+    assert list(common.arrow_map(frame, mine, "")([])) == []
+    assert not toxicity._HASHES and not pieces._ENCODERS and not bitpack._ENCODERS
+
+
+def test_shingles_are_counted_in_the_worker_that_makes_them(spark, monkeypatch):
+    """One Python step for each task that counts shingles: two would hold two worker processes a core."""
+    rng, plans, frequent = random.Random(5), [], simhash._frequent
+    passage = words(rng, 60).lower()
+    texts = [f"{passage} {words(rng, 40).lower()}" for _ in range(90)]
+
+    def seen(counts, *args):
+        plans.append(counts._jdf.queryExecution().executedPlan().toString())
+        return frequent(counts, *args)
+
+    monkeypatch.setattr(simhash, "_frequent", seen)
+    assert simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 90
+    assert len(plans) == 2 and all(p.count("MapInArrow") == 1 for p in plans)

@@ -138,28 +138,28 @@ class Trie:
 
 
 class Lookup:
-    """Open-addressing table from distinct codes to their places."""
+    """Open-addressing table from distinct codes to their values."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 2.5))))
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.codes, self.places = np.full(1 << bits, VACANT), np.zeros(1 << bits, np.int64)
+        self.codes, self.values = np.full(1 << bits, VACANT), np.zeros(1 << bits, values.dtype)
         slot, left = (keys * MIX >> self.shift).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = left[self.codes[slot[left]] == VACANT]
             at, pick = np.unique(slot[free], return_index=True)
-            self.codes[at], self.places[at] = keys[free[pick]], free[pick]
+            self.codes[at], self.values[at] = keys[free[pick]], values[free[pick]]
             left = left[self.codes[slot[left]] != keys[left]]
             slot[left] = (slot[left] + 1) & self.last
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        """Places of codes, all of which are in the table."""
+        """Values of codes, all of which are in the table."""
         slot = (codes * MIX >> self.shift).astype(np.int64)
         todo = np.flatnonzero(self.codes[slot] != codes)
         while len(todo):
             slot[todo] = (slot[todo] + 1) & self.last
             todo = todo[self.codes[slot[todo]] != codes[todo]]
-        return self.places[slot]
+        return self.values[slot]
 
 
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,15 +224,15 @@ def pieces_of(rows: list[bytes], most: int):
 
 
 def _words(rows: list[bytes]):
-    """(words of each row, places of all distinct words): the end token, which no word equals, is the empty word and has place 0."""
-    place, split = {b"": 0}, []
-    for row in rows:
-        ws = row.lower().split()
-        ws.append(b"")
-        for w in ws:
-            place.setdefault(w, len(place))
-        split.append(ws)
-    return split, place
+    """(numbers of all words, row after row, words in each row, distinct words by number): each row ends with the end token, which no word equals: the empty word, number 0."""
+    flat, sizes = [b""], np.zeros(len(rows), np.int64)
+    for i, row in enumerate(rows):
+        before = len(flat)
+        flat += row.lower().split()
+        flat.append(b"")
+        sizes[i] = len(flat) - before
+    coded = pa.array(flat, pa.binary()).dictionary_encode()
+    return coded.indices.to_numpy()[1:], sizes, coded.dictionary.cast(pa.string())
 
 
 #: Rows of the block table: what a block's texts are, its distinct strings for each part, its words, and counts of training strings.
@@ -243,7 +243,8 @@ NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 def _row(kind: int, block: int, part: int | None = None, a=None, b=None, ids=None, tokens=None, known=None) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, block, part, a, b, ids, tokens, known), kinds)], NAMES)
+    values = zip((kind, block, part, a, b, ids, tokens, known), kinds)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) if isinstance(x, pa.Array) else pa.array([x], t) for x, t in values], NAMES)
 
 
 def _block_rows(block: int, ids: list, rows: list[bytes], order: int, parts: int):
@@ -260,13 +261,9 @@ def _block_rows(block: int, ids: list, rows: list[bytes], order: int, parts: int
                 learned = merged(learned, found)
     for part, places in by_part(seen[0], parts):
         yield _row(CHUNK, block, part, a=pack_codes(seen[0][places]))
-    split, place = _words(rows)
-    known = np.zeros(len(place), np.int64)
-    for i, ws in zip(ids, split):
-        if not held_out(i):
-            for w in ws:
-                known[place[w]] += 1
-    yield _row(WORDS, block, tokens=[w.decode() for w in place], known=known.tolist())
+    numbers, sizes, words = _words(rows)
+    known = np.bincount(numbers[np.repeat([not held_out(i) for i in ids], sizes)], minlength=len(words))
+    yield _row(WORDS, block, tokens=words, known=pa.array(known, pa.int64()))
     return learned
 
 
@@ -396,20 +393,18 @@ def score_documents(docs: DataFrame, order: int = 5, block_bytes: int = 8_000_00
                 for (part, places), (answered, raw) in zip(by_part(keys, parts), parts_of, strict=True):
                     assert part == answered
                     lp[places] = unpack(raw, float)
-                look, scores = Lookup(keys), []
+                look, scores = Lookup(keys, lp), []
                 for lo, hi in pieces:
                     codes, sizes = strings(rows[lo:hi], order)
-                    scores += (np.add.reduceat(lp[look(codes)], np.cumsum(sizes) - sizes) / math.log(10)).tolist()
-                split, place = _words(rows)
-                c = np.zeros(len(place))
+                    scores += (np.add.reduceat(look(codes), np.cumsum(sizes) - sizes) / math.log(10)).tolist()
+                flat, n, words = _words(rows)
+                c = np.zeros(len(words))
                 if r["at"].is_valid:
                     c[r["at"].values.to_numpy()] = r["c"].values.to_numpy()
-                flat = np.fromiter((place[w] for ws in split for w in ws), np.int64)
-                ends = np.cumsum([len(ws) for ws in split])
-                starts = np.append(0, ends[:-1])
+                starts = np.cumsum(n) - n
                 base = np.add.reduceat(np.log10((c + 0.1) / under)[flat], starts)
                 seen = np.add.reduceat((c > 0).astype(np.int64)[flat], starts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(ends - starts), pa.array(seen), pa.array(np.full(len(ids), n_all, np.int64)), pa.array(base), pa.array(scores)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(n), pa.array(seen), pa.array(np.full(len(ids), n_all, np.int64)), pa.array(base), pa.array(scores)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = written(arrow_map(joined, finish, f"{id_col} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scored")
     spark.sql(f"DROP TABLE {name}")

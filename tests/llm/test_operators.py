@@ -628,3 +628,12 @@ def test_shingles_are_counted_in_the_worker_that_makes_them(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_frequent", seen)
     assert simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 90
     assert len(plans) == 2 and all(p.count("MapInArrow") == 1 for p in plans)
+
+
+def test_ppm_words_and_lookup_are_arrays():
+    """Words are numbered in one pass over a block, and looked-up values come from the table itself."""
+    numbers, sizes, found = ppm._words(["B é  B\n".encode(), b"", b"\t", "é".encode()])
+    assert numbers.tolist() == [1, 2, 1, 0, 0, 0, 2, 0] and sizes.tolist() == [4, 1, 1, 2] and found.to_pylist() == ["", "b", "é"]
+    keys = np.array([5, 9, 1 << 60, 0], np.uint64)
+    look = ppm.Lookup(keys, np.array([0.5, 1.5, -2.0, 7.0]))
+    assert look(keys[[3, 2, 2, 0, 1]]).tolist() == [7.0, -2.0, -2.0, 0.5, 1.5]

@@ -8,15 +8,17 @@ starts at a byte, so that block k of a file can be read and unpacked alone.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -118,19 +120,34 @@ class CachedEncoder:
     A byte-level BPE pre-tokenizer starts a new pre-token at each blank that a non-blank follows and around a lone
     newline, so a text can be cut there and equal units encoded once. Texts with other white space at those
     places, or with a special token's string, go to the library whole.
+
+    The pre-tokenizer also parts letters from the ASCII punctuation behind them, the apostrophe aside. New units of that
+    form go to the library's BPE model in these two parts, each distinct one once; all others go through the whole library.
     """
 
     MARK, BREAK = "\0", re.compile(r" (?:\s|$)|\n\n|\0")
+    LATIN, BEHIND = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    #: The characters by which a byte-level model knows the bytes of such words, where they are not those of Latin-1.
+    BYTES = {**{0x80 + i: 290 + i for i in range(33)}, 0xAD: 323}
 
     def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.model = self.tok.model if self._byte_level() else None
         self.newline = self._ids(["\n"])[0]
         self.at: dict[str, int] = {}
         self.flat, self.starts, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _byte_level(self) -> bool:
+        """Whether the library does nothing but the usual byte-level BPE."""
+        how = json.loads(self.tok.to_str())
+        pre, model = how["pre_tokenizer"] or {}, how["model"]
+        usual = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix")
+        return usual and model.get("type") == "BPE" and not any(model.get(x) for x in odd) and not any(how[x] for x in ("normalizer", "truncation", "padding"))
+
     def _forget(self) -> None:
         """Drop the units that were used only once or twice."""
         keep = np.flatnonzero(self.hits > 2)
@@ -153,6 +170,8 @@ class CachedEncoder:
     def _learn(self, keys: list[str]) -> None:
         """Encode new units, many to a call, told apart by the newline's own id."""
         names, flats, sizes = [], [], []
+        if self.model:
+            keys = self._learn_letters(keys, names, flats, sizes)
         for bare in (False, True):
             mine = [k for k in keys if (k[:1] == self.MARK) == bare and k != "\n" and k != self.MARK]
             spoken = [k[1:] for k in mine] if bare else [f" {k}" for k in mine]
@@ -181,17 +200,54 @@ class CachedEncoder:
                 sizes.append(np.array([len(ids)], np.int64))
         self._store(names, np.concatenate(flats), np.concatenate(sizes))
 
+    def _learn_letters(self, keys: list[str], names: list[str], flats: list[np.ndarray], sizes: list[np.ndarray]) -> list[str]:
+        """Encode the new units of letters and punctuation by the model alone; returns the others."""
+        tokenize, latin, found, rest, flat, n = self.model.tokenize, self.LATIN.fullmatch, {}, [], [], []
+        for k in keys:
+            body = k[1:] if k[:1] == self.MARK else k
+            word = body.rstrip(self.BEHIND)
+            if word.isascii():
+                if not word.isalpha():
+                    rest.append(k)
+                    continue
+                spoken = word if body is not k else "Ġ" + word
+            elif latin(word):
+                spoken = word.encode().decode("latin-1").translate(self.BYTES)
+                spoken = spoken if body is not k else "Ġ" + spoken
+            else:
+                rest.append(k)
+                continue
+            ids = found.get(spoken)
+            if ids is None:
+                ids = found[spoken] = [t.id for t in tokenize(spoken)]
+            if len(word) < len(body):
+                tail = body[len(word) :]
+                more = found.get(tail)
+                if more is None:
+                    more = found[tail] = [t.id for t in tokenize(tail)]
+                ids = ids + more
+            names.append(k)
+            flat += ids
+            n.append(len(ids))
+        flats.append(np.array(flat, np.uint32))
+        sizes.append(np.array(n, np.int64))
+        return rest
+
     def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, one after another, and the number of ids of each row."""
         if len(self.at) > self.limit:
             self._forget()
         whole = [bool(self.BREAK.search(t)) or any(s in t for s in self.special) for t in rows]
-        cut = [[] if w else (self.MARK + t.replace("\n", " \n \0")).split(" ") for t, w in zip(rows, whole)]
-        new = set().union(*cut).difference(self.at)
-        if new:
-            self._learn(list(new))
-        units = np.array([len(c) for c in cut], np.int64)
-        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(units.sum()))
+        cut = pc.split_pattern(pa.array([self.MARK if w else self.MARK + t.replace("\n", " \n \0") for t, w in zip(rows, whole)], pa.string()), " ")
+        coded, units = cut.flatten().dictionary_encode(), cut.value_lengths().to_numpy().astype(np.int64)
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [keys[i] for i in unknown]
+            self._learn(new)
+            place[unknown] = np.fromiter(map(self.at.__getitem__, new), np.int64, len(new))
+        k = place[coded.indices.to_numpy()]
         self.hits += np.bincount(k, minlength=len(self.hits))
         flat, ends = self.flat[ragged(self.starts[k], self.sizes[k])], np.concatenate([[0], np.cumsum(self.sizes[k])])
         at = np.concatenate([[0], np.cumsum(units)])
@@ -241,7 +297,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         part, enc, writer, name = TaskContext.get().partitionId(), encoder(tokenizer), None, ""
         for b in batches:
             ids, rows = b.column(id_col).to_pylist(), texts(b, text_col)
-            for lo, hi in chunks(rows):
+            for lo, hi in chunks(rows, 4_000_000):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(base, recursive=True)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, words_of
 from planloom.operators.graph import connected_components, joined
-from planloom.storage import cut, written
+from planloom.storage import cut, sweep, written
 
 BITS = 64
 
@@ -355,7 +355,10 @@ def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity:
         each = same.unionByName(written(again, "ordered"))
     each = _once(each).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     sizes = cut(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    return cut(joined(each, sizes, ["key"], "size"))
+    sweep(docs.sparkSession)  # the counts' shuffle is as large as that of the join
+    keys = cut(joined(each, sizes, ["key"], "size"))
+    sweep(docs.sparkSession)
+    return keys
 
 
 def fingerprint_pairs(nodes: DataFrame, tau: int = 2) -> DataFrame:
@@ -406,6 +409,7 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, first: DataFram
         pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("root").alias(f"r{end}")), end, "left")
     apart = F.coalesce("ru", "u") != F.coalesce("rv", "v")
     links = cut(links.unionByName(verified(pairs.where(apart).select("u", "v"), sets, similarity)))
+    sweep(keys.sparkSession)
     # A text with much of its prefix in large buckets stands at the middle of a group of copies.
     weight = F.count("*").over(Window.partitionBy("node")) / F.col("n")
     left, before = hot, math.inf
@@ -431,6 +435,7 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, first: DataFram
         left = cut(left.join(centre, "key").select("key", "node", "n", "pos", "root", "c", "nc"))
         found, done = around_centres(left, sets, similarity)
         links = cut(links.unionByName(found).distinct())
+        sweep(keys.sparkSession)
         left = left.where("node <> c").join(done, ["c", "node"], "left_anti").select("key", "node", "n", "pos")
     return links
 

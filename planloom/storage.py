@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that nothing refers to any more: it does so when the driver collects its garbage, else every 30 minutes."""
+    for _ in range(2):  # some references go only between two collections
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder."""
     path = new_folder(df.sparkSession, kind)

@@ -655,3 +655,24 @@ def test_letters_and_punctuation_are_encoded_by_the_model_alone(monkeypatch):
     monkeypatch.setattr(enc, "model", None)  # any other kind of tokenizer
     enc._learn(["größer***", "\0Ġabc"])
     assert " größer***" in seen and "Ġabc" in seen
+
+
+def test_sweep_frees_the_shuffle_files_of_finished_steps(spark):
+    """What a checkpointed frame was made from stays on disk until the driver collects its garbage."""
+    import time
+
+    from planloom.storage import cut, sweep
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = files()
+    frame = cut(spark.range(5000).selectExpr("id % 700 as k").groupBy("k").count())
+    made = {f for f in files() - before if f.startswith("shuffle_")}
+    assert made
+    end = time.time() + 20
+    while made & files() and time.time() < end:
+        sweep(spark)
+        time.sleep(0.5)
+    assert not made & files() and frame.count() == 700

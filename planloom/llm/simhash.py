@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 
 from planloom.llm.common import arrow_map, bodies, words_of
 from planloom.operators.graph import connected_components, joined
-from planloom.storage import cut, sweep, written
+from planloom.storage import cut, discard, freed_at_once, sweep, written
 
 BITS = 64
+SKETCH = 128
+#: So many links (8 MB) are united on the driver; more in the cluster.
+DRIVER_LINKS = 500_000
 
 
 def shingle_hashes(body: bytes, k: int, seed: int = 42) -> list[int]:
@@ -272,10 +275,19 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     return arrow_map(_rows_of(docs.select(id_col, text_col), wanted, id_col), both, schema)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of SKETCH classes. The lesser of two counts, added up, bounds what two sets share."""
+    return np.bincount(shingles & (SKETCH - 1), minlength=SKETCH).astype(np.int32)
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, c, shingles): distinct 32-bit shingle hashes of the wanted nodes (node, rep, c)."""
-    of = lambda body: (np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32)),)
-    return _from_texts(docs, wanted, id_col, text_col, of, ["shingles"], [pa.list_(pa.int32())], "shingles array<int>")
+    """(node, c, shingles, sketch): distinct 32-bit shingle hashes of the wanted nodes (node, rep, c)."""
+
+    def of(body):
+        shingles = np.unique(np.array(shingle_hashes(body, shingle_words), np.uint64).astype(np.uint32).view(np.int32))
+        return shingles, sketch(shingles)
+
+    return _from_texts(docs, wanted, id_col, text_col, of, ["shingles", "sketch"], [pa.list_(pa.int32())] * 2, "shingles array<int>, sketch array<int>")
 
 
 def _counted(column: str, held_keys: int = 1_000_000):
@@ -342,7 +354,7 @@ def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity:
         some = arrow_map(own.select("node", "rep", "c", "prefix"), parted(True), f"node long, rep {rep}, c long").dropDuplicates(["node"])
         return cut(some), arrow_map(own.select("node", "rep", "c", "n", "prefix"), parted(False), "node long, c long, n int, prefix array<long>")
 
-    each = own.select("node", "c", "n", "prefix")
+    each, ordered = own.select("node", "c", "n", "prefix"), []
     first = _frequent(arrow_map(own.select("prefix"), _counted("prefix"), "key long, c long"), often, most_common)
     if len(first[0]):
         # What follows the first prefixes is as common as they are: all shingles of these texts are counted.
@@ -352,11 +364,13 @@ def prefix_keys(docs: DataFrame, own: DataFrame, shingle_words: int, similarity:
         touched, same = split(common)
         # A prefix without a common shingle is the same in the new order.
         again = _from_texts(docs, touched, id_col, text_col, lambda body: prefix(shingle_keys(body, shingle_words), similarity, ranked.value), ["n", "prefix"], [pa.int32(), pa.list_(pa.int64())], "n int, prefix array<long>")
-        each = same.unionByName(written(again, "ordered"))
+        ordered = [written(again, "ordered")]
+        each = same.unionByName(ordered[0])
     each = _once(each).select("node", "n", F.posexplode("prefix").alias("pos", "key"))
     sizes = cut(each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     sweep(docs.sparkSession)  # the counts' shuffle is as large as that of the join
     keys = cut(joined(each, sizes, ["key"], "size"))
+    discard(*ordered)
     sweep(docs.sparkSession)
     return keys
 
@@ -383,7 +397,7 @@ def _rooted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     """rows with the root of each node under the links."""
     if links is None:
         return rows.withColumn("root", F.col("node"))
-    roots = connected_components(links).select(F.col("u").alias("node"), F.col("root").alias("_root"))
+    roots = connected_components(links, driver_edges=DRIVER_LINKS).select(F.col("u").alias("node"), F.col("root").alias("_root"))
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
@@ -404,7 +418,7 @@ def near_copy_links(keys: DataFrame, sets_of, similarity: float, first: DataFram
     ends = pairs.unionByName(first).select(F.explode(F.array("u", "v")).alias("node")).unionByName(hot.select("node")).distinct()
     sets = sets_of(cut(ends))
     links = cut(verified(first, sets, similarity))
-    roots = connected_components(links)
+    roots = connected_components(links, driver_edges=DRIVER_LINKS)
     for end in "uv":
         pairs = pairs.join(roots.select(F.col("u").alias(end), F.col("root").alias(f"r{end}")), end, "left")
     apart = F.coalesce("ru", "u") != F.coalesce("rv", "v")
@@ -474,10 +488,30 @@ def around_centres(rows: DataFrame, sets: DataFrame, similarity: float, broadcas
     return stars.unionByName(verified(more, sets, similarity)), both.where(F.col("far") <= 2 * apart - 1e-9).select("c", "node")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Pairs whose shingle sets have at least the given Jaccard similarity; only the sets they need are shuffled."""
+def _sketched(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches do not rule the similarity out. A sketch is a small part of a set, and only sets of pairs left are shuffled."""
+
+    def run(batches):
+        for b in batches:
+            left, right = (b.column(c).flatten().to_numpy().reshape(-1, SKETCH) for c in ("ku", "kv"))
+            both = np.minimum(left, right).sum(1, dtype=np.int64)
+            all_ = left.sum(1, dtype=np.int64) + right.sum(1, dtype=np.int64) - both
+            yield b.select(["u", "v"]).filter(pa.array(both >= similarity * all_ - 1e-6))
+
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("sketch").alias(f"k{end}"))
+    return arrow_map(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "ku", "kv"), run, "u long, v long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int = 1_000_000, few: int = 10_000) -> DataFrame:
+    """Pairs whose shingle sets have at least the given Jaccard similarity; only the sets they need are shuffled.
+
+    More than `few` pairs are first thinned by the sketches, which lose no link."""
     pairs = cut(pairs)
-    if pairs.count() <= broadcast_rows:  # at most twice as many nodes of 8 bytes; more are matched by shuffle
+    n = pairs.count()
+    if n > few and "sketch" in sets.columns:
+        pairs = cut(_sketched(pairs, sets, similarity))
+        n = pairs.count()
+    if n <= broadcast_rows:  # at most twice as many nodes of 8 bytes; more are matched by shuffle
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         sets = sets.join(F.broadcast(ends), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
@@ -493,16 +527,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     shingles then joins what the fingerprints have left apart; it compares no pair that they have united.
     Copies that agree in all words (A-Z lower-cased) are one node; texts without words are one node too.
     """
-    rows = written(_prefixed(docs, shingle_words, similarity, id_col, text_col), "prefixed")
-    seen = rows.groupBy("node", id_col).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("fp").alias("fp"))
-    lowest = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("rep"), "c")).alias("k")
-    nodes = written(seen.groupBy("node").agg(lowest, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "k.rep", "k.c", "n", "fp"), "nodes")
-    first = fingerprint_pairs(nodes.select("node", "fp"))
-    own = _rows_of(rows.withColumn("rep", F.col(id_col)), nodes, id_col).where("node = _node").select("node", "rep", "c", "n", "prefix")
-    keys = prefix_keys(docs, own, shingle_words, similarity, id_col, text_col)
-    sets_of = lambda ends: _once(written(_shingle_sets(docs, cut(nodes.select("node", "rep", "c").join(ends, "node")), shingle_words, id_col, text_col), "sets"))
-    roots = connected_components(near_copy_links(keys, sets_of, similarity, first))
-    ids = rows.select(id_col, "node")
+    with freed_at_once(docs.sparkSession):
+        rows = written(_prefixed(docs, shingle_words, similarity, id_col, text_col), "prefixed")
+        seen = rows.groupBy("node", id_col).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+        lowest = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("rep"), "c")).alias("k")
+        nodes = written(seen.groupBy("node").agg(lowest, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "k.rep", "k.c", "n", "fp"), "nodes")
+        first = fingerprint_pairs(nodes.select("node", "fp"))
+        own = _rows_of(rows.withColumn("rep", F.col(id_col)), nodes, id_col).where("node = _node").select("node", "rep", "c", "n", "prefix")
+        keys = prefix_keys(docs, own, shingle_words, similarity, id_col, text_col)
+        ids = written(rows.select(id_col, "node"), "ids")
+        discard(rows)  # the keys hold what is needed of the prefixes
+        made = []
+
+        def sets_of(ends):
+            made.append(written(_shingle_sets(docs, cut(nodes.select("node", "rep", "c").join(ends, "node")), shingle_words, id_col, text_col), "sets"))
+            return _once(made[-1])
+
+        roots = connected_components(near_copy_links(keys, sets_of, similarity, first), driver_edges=DRIVER_LINKS)
+        discard(*made)
     return ids.join(roots, ids.node == roots.u, "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
 
 

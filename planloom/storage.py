@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -40,8 +41,29 @@ def sweep(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+@contextlib.contextmanager
+def freed_at_once(spark: SparkSession):
+    """Frames made inside have their shuffle files deleted as soon as what runs on them ends; none of these frames should run twice."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder."""
     path = new_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.planloom_folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames that `written` made, once nothing that is still to run reads them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.planloom_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -676,3 +676,56 @@ def test_sweep_frees_the_shuffle_files_of_finished_steps(spark):
         sweep(spark)
         time.sleep(0.5)
     assert not made & files() and frame.count() == 700
+
+
+def test_shuffle_files_go_as_soon_as_a_step_ends(spark):
+    """Without waiting for the driver's garbage collection, of which no one knows when it comes."""
+    import time
+
+    from planloom.storage import cut, freed_at_once
+
+    found = lambda: {f.getName() for f in (lambda s: [s.apply(i) for i in range(s.size())])(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", found()
+    was = spark.conf.get(key)
+    with freed_at_once(spark):
+        frame = cut(spark.range(5000).selectExpr("id % 700 as k").groupBy("k").count())
+    end = time.time() + 5
+    while (left := {f for f in found() - before if f.startswith("shuffle_")}) and time.time() < end:
+        time.sleep(0.1)
+    assert not left and frame.count() == 700 and spark.conf.get(key) == was
+
+
+def test_near_duplicates_leave_no_large_tables(spark):
+    """Prefixes and shingle sets are deleted once their last reader has run; the result can still be read."""
+    import pathlib
+
+    from planloom.storage import shared_root
+
+    folder = pathlib.Path(shared_root(spark).removeprefix("file:"))
+    kinds = lambda: {p.name for p in folder.iterdir() if p.name.startswith(("prefixed-", "ordered-", "sets-"))}
+    before = kinds()
+    words = [f"w{i}" for i in range(60)]
+    frame = spark.createDataFrame([(i, " ".join([*words, f"end{i % 3}"])) for i in range(9)] + [(9, "alone")], "doc_id long, text string")
+    got = simhash.near_duplicates(frame)
+    assert kinds() == before
+    roots = {r.doc_id: r.root for r in got.collect()}
+    assert len(set(roots.values())) == 2 and len({roots[i] for i in range(9)}) == 1
+
+
+def test_sketches_lose_no_link(spark):
+    """Pairs thinned by sketches first give the links that the whole sets give, and most unlike pairs go before sets are shuffled."""
+    import planloom.llm.simhash as sh
+
+    rng = np.random.default_rng(7)
+    made = [np.unique(rng.integers(-(2**31), 2**31, 200, dtype=np.int64)).astype(np.int32) for _ in range(6)]
+    for base in made[:4]:
+        for swapped in (5, 22, 24, 60):
+            made.append(np.unique(np.concatenate([base[swapped:], rng.integers(-(2**31), 2**31, swapped, dtype=np.int64).astype(np.int32)])))
+    made += [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+    sets = spark.createDataFrame([(i, 1, x.tolist(), sh.sketch(x).tolist()) for i, x in enumerate(made)], "node long, c long, shingles array<int>, sketch array<int>")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(made)) for j in range(i)], "u long, v long")
+    share = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = {(i, j) for i in range(len(made)) for j in range(i) if share(made[i], made[j])}
+    assert {tuple(r) for r in sh.verified(pairs, sets, 0.8, few=0).collect()} == want
+    left = {tuple(r) for r in sh._sketched(pairs, sets, 0.8).collect()}
+    assert want <= left and len(left) < pairs.count() / 4

@@ -98,3 +98,15 @@ def test_hot_vertices_are_joined_apart(spark):
     want = sorted([(k, 0) for k in range(61)] + [(k, 100) for k in (100, 101, 102)])
     for hot_rows in (5, 1000):
         assert sorted((r.u, r.root) for r in graph.connected_components(edges, hot_rows=hot_rows).collect()) == want
+
+
+def test_components_on_the_driver(spark):
+    from planloom.operators import graph
+
+    r = rng(11)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-(2**62), 2**62, 80)[r.integers(0, 80, (55, 2))]] + [(k, k + 1) for k in range(40)] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    far, near = graph.connected_components(edges), graph.connected_components(edges, driver_edges=1000)
+    assert near.columns == far.columns and near.dtypes == far.dtypes
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+    assert graph.connected_components(edges.limit(0), driver_edges=1000).count() == 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import os
 import tempfile
 import zipfile
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planloom.storage import give_back
+
 _SHIPPED: dict[str, bool] = {}
 _KEPT: dict[str, dict] = {}
 BATCH_ROWS = 1000
@@ -70,13 +70,6 @@ def drop_kept(owner: str) -> None:
             held.clear()
 
 
-def give_back() -> None:
-    """Freed memory goes back to the system: a worker process outlives its tasks, and idle ones count beside those that work."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # glibc only
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
 
@@ -85,7 +78,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     def run(batches):
         drop_kept(owner)
         yield from fn(batches)
-        give_back()
+        give_back()  # a worker process outlives its tasks, and idle ones count beside those that work
 
     return df.mapInArrow(run, schema)
 

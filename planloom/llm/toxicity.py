@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import arrow_map, bodies, kept, ragged, remainder, words_of
+from planloom.llm.common import arrow_map, bodies, give_back, kept, ragged, remainder, words_of
 
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_~`"
 
@@ -144,7 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, **how) -> M
     """The machine fitted on training_rows. Labels other than 0 and 1 (null too) are no training rows; a label without a
     document is ignored, a repeated id counts as often as it occurs, null and empty texts are rows without terms. Without
     any labelled row all texts score 0.5. Further columns of both tables are not read."""
-    return fit(*training_rows(docs, labels, per_class), **how)
+    made = fit(*training_rows(docs, labels, per_class), **how)
+    give_back()  # the training rows
+    return made
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -64,15 +64,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot_rows: int =
     of vertices with `hot_rows` edges or more are broadcast back, so no vertex with so many edges gathers in one task.
     Each round is checkpointed in the shared folder. Edges with a null end and loops are ignored. Raises if
     `max_rounds` do not suffice (the number needed grows with the logarithm of the longest path). At most `driver_edges`
-    edges (of whole numbers, 16 bytes each) are united on the driver instead, which saves a dozen shuffles.
+    edges (rows of whole numbers, 16 bytes each, repeated ones too) are united on the driver instead, which saves a dozen shuffles; with `driver_edges`, `edges` is
+    to be a frame that was cut, as it is read more than once.
     """
-    now = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen, edges_now = None, now.count()
-    if edges_now <= driver_edges:
-        held = now.toArrow()
+    if driver_edges and edges.count() <= driver_edges:
+        held = edges.select("u", "v").where("u <> v").toArrow()
         vertices, roots = _roots(held["u"].to_numpy(), held["v"].to_numpy())
         kinds = [held.schema.field(c).type for c in ("u", "v")]
         return edges.sparkSession.createDataFrame(pa.table([pa.array(vertices, kinds[0]), pa.array(roots, kinds[1])], ["u", "root"]))
+    now = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen, edges_now = None, now.count()
     for _ in range(max_rounds):
         # Both ends of every edge together are too few for a busy vertex: nothing to set apart.
         hot = hot_rows if 2 * edges_now >= hot_rows else None

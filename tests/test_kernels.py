@@ -110,3 +110,33 @@ def test_components_on_the_driver(spark):
     assert near.columns == far.columns and near.dtypes == far.dtypes
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
     assert graph.connected_components(edges.limit(0), driver_edges=1000).count() == 0
+
+
+def test_cut_shrinks_a_grown_heap_of_the_driver(spark, monkeypatch):
+    from planloom import storage
+
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    full = lambda: sum(x.getCollectionCount() for x in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    monkeypatch.setattr(storage, "HEAP_SHARE", 0.0)
+    monkeypatch.setitem(storage._HEAP_LEFT, app, -(1 << 50))
+    before = full()
+    assert storage.cut(spark.range(10)).count() == 10
+    assert full() > before
+    assert storage._HEAP_LEFT[app] > 0
+    # A heap that has not grown since is left alone.
+    monkeypatch.setitem(storage._HEAP_LEFT, app, 1 << 50)
+    before = full()
+    assert not storage.shrink(spark)
+    assert full() == before
+
+
+def test_few_links_are_united_on_the_driver_without_a_table(spark, monkeypatch):
+    from planloom.operators import graph
+
+    def none(df):
+        raise AssertionError("no intermediate table is needed")
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 2), (5, 5), (None, 7), (8, 9)], "u long, v long")
+    monkeypatch.setattr(graph, "cut", none)
+    found = {(r.u, r.root) for r in graph.connected_components(edges, driver_edges=7).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
